@@ -7,8 +7,11 @@
    into a task). Classes that agree in a tree's first LEAST_DEPTH values share a region. In each order, a class is linked
    to the neighbours with the longest common prefix, as deep as its region goes: few in a sparse region, the nearest NEAR
    in a dense one. A class's BEST most frequent neighbours are confirmed on full sets, and links give components.
+   Then, in regions that hold more than one component, the class with the most links so far (the original of many copies,
+   say, which are less like each other) is confirmed with each class of another component, PIVOTS times.
 3. What that leaves open: regions that hold classes of more than one component. There, all pairs across components whose
-   signatures allow the threshold are confirmed too, a region larger than REGION being split into blocks that meet in pairs.
+   signatures allow the threshold are confirmed too, where they meet (a pair only in its first common tree, and a region
+   larger than REGION in blocks that meet in pairs), so that nothing but links comes out.
    So every pair that shares a region in any tree is confirmed, or lies in one component already.
 
 At similarity 0.85 a pair shares no region with a probability of (1 - 0.85**5)**16, below 1 in 10,000, and a signature of
@@ -33,7 +36,7 @@ from loomline.llm.components import components
 from loomline.llm.shared import Scratch
 
 TREES, DEPTH, LEAST_DEPTH = 16, 5, 5
-NEAR, BEST = 3, 2
+NEAR, BEST, PIVOTS = 3, 2, 2
 REGION = 2_048
 SLACK = 0.17
 
@@ -132,7 +135,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
 
     # texts of classes that share a region with another one: only they are ever compared
     region = F.xxhash64("tree", F.substring("key", 1, 4 * LEAST_DEPTH))
-    regions = scratch.keep(forest.select("node", region.alias("region")), "regions")
+    regions = scratch.keep(forest.select("node", "tree", region.alias("region")), "regions")
     shared = regions.groupBy("region").agg(F.count("*").alias("members")).where("members > 1").select("region")
     wanted = regions.join(shared, "region").select(F.col("node").alias("doc_id")).distinct()
     involved = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id"), "involved")
@@ -140,27 +143,49 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     links = _confirm(scratch, involved, first, width, percent)
     found = scratch.keep(components(scratch, links), "components")
 
-    left = scratch.keep(_open_pairs(regions, classes, found, percent), "open")
-    tried = left.join(first, ["a", "b"], "left_anti")
-    more = _confirm(scratch, involved, tried, width, percent)
-    found = scratch.keep(components(scratch, found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
-    scratch.drop(involved, regions, links)
+    tried = first
+    for _ in range(PIVOTS):
+        star = scratch.keep(_pivot_pairs(regions, classes, found, links, percent).join(tried, ["a", "b"], "left_anti"), "pivots")
+        if star.isEmpty():
+            break
+        links = links.unionByName(_confirm(scratch, involved, star, width, percent))
+        found, tried = scratch.keep(components(scratch, links), "components"), tried.unionByName(star)
+
+    late = scratch.keep(_open_links(regions, classes, found, involved, width, percent), "late")
+    if not late.isEmpty():
+        found = scratch.keep(components(scratch, links.unionByName(late)), "components")
+    scratch.drop(involved, regions)
 
     named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = signed.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _open_pairs(regions: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a > b) of one region and two components whose signatures and sizes allow the threshold."""
-    named = regions.join(found, "node", "left").select("node", "region", F.coalesce("component", "node").alias("component")).distinct()
+def _in_components(regions: DataFrame, found: DataFrame) -> DataFrame:
+    return regions.join(found, "node", "left").select("node", "tree", "region", F.coalesce("component", "node").alias("component")).distinct()
+
+
+def _pivot_pairs(regions: DataFrame, classes: DataFrame, found: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a > b) of each region's class with the most links and its classes of other components."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    rows = _in_components(regions, found).join(degree, "node", "left").join(classes.select("node", "n"), "node")
+    best = rows.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("node")).alias("node"), "component", "n")).alias("best"))
+    best = best.where("least < most AND best.degree > 0").select("region", (-F.col("best.node")).alias("pivot"), F.col("best.component").alias("its"), F.col("best.n").alias("m"))
+    met = rows.join(best, "region").where(F.col("component") != F.col("its")).where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    return met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+
+
+def _open_links(regions: DataFrame, classes: DataFrame, found: DataFrame, involved: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a > b) between classes of one region and two components; full sets are compared where signatures and sizes
+    allow the threshold."""
+    named = _in_components(regions, found)
     mixed = named.groupBy("region").agg(F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("region", "members")
-    rows = named.join(mixed, "region").join(classes.select("node", "sig", "n"), "node")
+    rows = named.join(mixed, "region").join(classes.select("node", "sig", "n"), "node").join(involved.withColumnRenamed("doc_id", "node"), "node")
     # blocks of a large region, each pair of blocks a group of its own
     n_blocks = F.ceil(F.col("members") / REGION).cast("int")
     rows = rows.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "component", "sig", "n", "region", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    rows = rows.select("node", "component", "sig", "n", "text", "tree", "region", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     allowed = percent / 100 - SLACK
 
     def compared(t: pa.Table):
@@ -169,6 +194,7 @@ def _open_pairs(regions: DataFrame, classes: DataFrame, found: DataFrame, percen
         node, comp, n, block, region, one, two = (t.column(c).to_numpy() for c in ("node", "component", "n", "block", "region", "one", "two"))
         last = np.concatenate(((region[1:] != region[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]), [True]))
         end = np.flatnonzero(last)[np.cumsum(last) - last] + 1
+        tree = t.column("tree").to_numpy()
         a, b = [], []
         for i in np.flatnonzero(end - np.arange(len(end)) > 1):
             use = slice(i + 1, end[i])
@@ -177,10 +203,20 @@ def _open_pairs(regions: DataFrame, classes: DataFrame, found: DataFrame, percen
                 ok &= block[use] != block[i]
             at = np.flatnonzero(ok) + i + 1
             if len(at):
-                at = at[(sig[at] == sig[i]).mean(axis=1) >= allowed]
-                a.append(np.full(len(at), node[i]))
-                b.append(node[at])
+                same = sig[at] == sig[i]
+                first_tree = same.reshape(len(at), TREES, DEPTH)[:, :, :LEAST_DEPTH].all(axis=2).argmax(axis=1)
+                at = at[(same.mean(axis=1) >= allowed) & (first_tree == tree[i])]
+                a.append(np.full(len(at), i))
+                b.append(at)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        wanted, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        full = sets(t.column("text").take(pa.array(wanted)).combine_chunks(), width) if len(wanted) else []
+        linked = np.zeros(len(a), bool)
+        for k, (i, j) in enumerate(zip(place[: len(a)], place[len(a) :], strict=True)):
+            s, r = full[i], full[j]
+            both = int((r[np.minimum(np.searchsorted(r, s), len(r) - 1)] == s).sum())
+            linked[k] = 100 * both >= percent * (len(s) + len(r) - both)
+        a, b = node[a[linked]], node[b[linked]]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     def run(batches):
