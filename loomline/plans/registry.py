@@ -112,10 +112,10 @@ def cache_evictions(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w)).where("n > 3").select("user_id", "event_id", "event_type")
 
 
-@query("SELECT event_id, round(CAST(sum(CAST(value AS DECIMAL(14,4))) OVER w AS DOUBLE) / count(*) OVER w, 4) AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+@query("SELECT event_id, CAST(sum(CAST(value AS DECIMAL(14,4))) OVER w AS DOUBLE) AS total, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
 def moving_average(spark, sf_dir):
     w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.sum(F.col("value").cast("decimal(14,4)")).over(w).cast("double") / F.count("*").over(w), 4).alias("mean"))
+    return table(spark, sf_dir, "events").select("event_id", F.sum(F.col("value").cast("decimal(14,4)")).over(w).cast("double").alias("total"), F.count("*").over(w).alias("n"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
