@@ -70,9 +70,9 @@ def _bpe_cuts() -> str:
 
 
 def _viterbi_cuts() -> str:
-    """Cuts of the path with the least cost; a character without a piece costs 1000."""
+    """Cuts of the path with the least cost; a character without a piece costs more than any path of pieces."""
     into = "filter(edges, e -> e.s + e.n = k + 1)"
-    ways = f"transform(concat({into}, array(struct(CAST(1000.0 AS DOUBLE) AS cost, k AS s, 1 AS n, -1 AS id))), e -> struct(best[e.s - 1].cost + e.cost AS cost, e.s AS s))"
+    ways = f"transform(concat({into}, array(struct(CAST(1e9 AS DOUBLE) AS cost, k AS s, 1 AS n, -1 AS id))), e -> struct(best[e.s - 1].cost + e.cost AS cost, e.s AS s))"
     start = "array(struct(CAST(0.0 AS DOUBLE) AS cost, 0 AS s))"
     best = f"aggregate(sequence(1, length(run)), {start}, (best, k) -> concat(best, array(array_min({ways}))))"
     # best[k].s: where the last piece of the best path to k begins; followed back from the end
