@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm import texts as tx
-from loomline.llm.components import components
+from loomline.llm.components import components, merged
 from loomline.llm.shared import Scratch
 
 TREES, DEPTH, LEAST_DEPTH = 16, 5, 5
@@ -148,12 +148,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
         star = scratch.keep(_pivot_pairs(regions, classes, found, links, percent).join(tried, ["a", "b"], "left_anti"), "pivots")
         if star.isEmpty():
             break
-        links = links.unionByName(_confirm(scratch, involved, star, width, percent))
-        found, tried = scratch.keep(components(scratch, links), "components"), tried.unionByName(star)
+        more = _confirm(scratch, involved, star, width, percent)
+        links, found, tried = links.unionByName(more), merged(scratch, found, more), tried.unionByName(star)
 
     late = scratch.keep(_open_links(regions, classes, found, involved, width, percent), "late")
     if not late.isEmpty():
-        found = scratch.keep(components(scratch, links.unionByName(late)), "components")
+        found = merged(scratch, found, late)
     scratch.drop(involved, regions)
 
     named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
