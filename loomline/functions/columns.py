@@ -50,3 +50,22 @@ def distance(a: Column, b: Column) -> Column:
 
 def load_percent(value: Column, full: float) -> Column:
     return F.least(F.lit(100.0), value / full * 100)
+
+
+def low_value(line: Column) -> Column:
+    """Lines of digits only, and dot leaders."""
+    dots = F.length(line) - F.length(F.replace(line, F.lit("."), F.lit("")))
+    return line.rlike(r"^[0-9 .,]*$") | (dots > 0.45 * F.length(line))
+
+
+def part_name(name: str, between: str = " ") -> Column:
+    """Lower-case letters and digits; all else becomes `between`."""
+    plain = F.lower(F.replace(F.replace(name, F.lit("µ"), F.lit("u")), F.lit("Ω"), F.lit("ohm")))
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", between))
+
+
+def category(text: Column, categories: list[tuple[str, int, list[str]]], default: str) -> Column:
+    """The category with the most keyword hits; of equal ones the one with the higher priority."""
+    hits = [(name, priority, sum(((F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w) for w in words), F.lit(0.0))) for name, priority, words in categories]
+    best = F.greatest(*(F.struct(n.alias("n"), F.lit(priority).alias("priority"), F.lit(name).alias("name")) for name, priority, n in hits))
+    return F.when(best["n"] > 0, best["name"]).otherwise(default)

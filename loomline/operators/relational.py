@@ -45,3 +45,22 @@ def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 def insert_new(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Rows of changes whose key isn't there yet are added, the others ignored."""
     return current.unionByName(changes.join(current.select(key), key, "left_anti"))
+
+
+def merge_rows(current: DataFrame, changes: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
+    """Upsert with a rule for each changed column: overwrite, keep_if_null, keep_if_empty, existing or greatest."""
+    new = changes.select(key, F.lit(True).alias("_changed"), *(F.col(c).alias(f"_{c}") for c in rules))
+    rule = {
+        "overwrite": lambda old, to: F.when(F.col("_changed"), to).otherwise(old),
+        "keep_if_null": lambda old, to: F.coalesce(to, old),
+        "keep_if_empty": lambda old, to: F.coalesce(F.nullif(to, F.lit("")), old),
+        "existing": lambda old, to: F.coalesce(old, to),
+        "greatest": lambda old, to: F.greatest(old, to),
+    }
+    return current.join(new, key, "full_outer").select(key, *(rule[rules[c]](F.col(c), F.col(f"_{c}")).alias(c) if c in rules else F.col(c) for c in current.columns if c != key))
+
+
+def first_key_hit(needs: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """(key, hit, pos): each row's first of several keys that the index (key, hit) holds."""
+    each = needs.select(F.col(key).alias("_row"), F.posexplode("keys").alias("pos", "key"))
+    return each.join(index, "key").groupBy("_row").agg(F.min_by("hit", "pos").alias("hit"), F.min("pos").alias("pos")).withColumnRenamed("_row", key)

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from loomline.functions import columns as C
+from loomline.operators import chunks as K
 from loomline.operators import relational as R
 from loomline.operators import windows as W
 from loomline.plans import registry
+from loomline.sources.tables import lines, table
 from loomline.streaming.telemetry import stream_buckets
 
 DATA = "/root/testdata/sf0.001"
@@ -87,3 +89,33 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.bucket, r.peak, r.n) for r in spark.table("buckets").collect()}
     assert got == {(r.b.replace(tzinfo=None), r.peak, r.n) for r in events.groupBy(R.bucket("ts", 3600).alias("b")).agg(F.max("value").alias("peak"), F.count("*").alias("n")).collect()}
+
+
+def test_chunks_equal_a_plain_loop(spark):
+    blocks = K.blocks(lines(table(spark, DATA, "documents"))).select("doc_id", "block", "tokens").collect()
+    by, want = {}, set()
+    for r in blocks:
+        by.setdefault(r.doc_id, []).append((r.block, r.tokens))
+    for doc, found in by.items():
+        made = []
+        for block, tokens in sorted(found):
+            if made and made[-1][1] + tokens <= 420:
+                made[-1][1] += tokens
+            else:
+                made.append([block, tokens])
+        want |= {(doc, i, b, t) for i, (b, t) in enumerate(made)}
+    got = registry.QUERIES["chunk_documents"](spark, DATA).collect()
+    assert {(r.doc_id, r.chunk, r.first_block, r.tokens) for r in got} == want and len(got) == len(want)
+
+
+def test_large_blocks_stay_whole(spark):
+    rows = spark.createDataFrame([(1, 1, 500), (1, 2, 10), (1, 4, 410), (1, 6, 1), (2, 3, 0)], "doc_id int, block long, tokens long")
+    assert sorted(tuple(r) for r in K.merge_blocks(rows, 420).collect()) == [(1, 0, 1, 500), (1, 1, 2, 420), (1, 2, 6, 1), (2, 0, 3, 0)]
+
+
+def test_upsert_rules_with_nulls_and_empty_values(spark):
+    kind = "k int, a string, b string, c string, d string, e int, f int"
+    old = spark.createDataFrame([(1, "a", "b", "c", "d", 5, 1), (2, "a", "b", "c", None, None, 2)], kind)
+    new = spark.createDataFrame([(1, None, None, "", "x", 3), (2, "y", "y", "y", "y", 4), (3, "z", "z", "z", "z", 6)], "k int, a string, b string, c string, d string, e int")
+    rules = {"a": "overwrite", "b": "keep_if_null", "c": "keep_if_empty", "d": "existing", "e": "greatest"}
+    assert sorted(tuple(r) for r in R.merge_rows(old, new, "k", rules).collect()) == [(1, None, "b", "c", "d", 5, 1), (2, "y", "y", "y", "y", 4, 2), (3, "z", "z", "z", "z", 6, None)]
