@@ -226,3 +226,29 @@ def test_pipeline(spark):
         if name == "secrets":
             assert n == len(before) and not any(secret_scan.base_spans(r.text) for r in now.collect())
     assert corpus_pipeline.STAGES[-1][1](spark, now, DATA).select("doc_id").distinct().count() == n
+
+
+def test_components_and_later_links_equal_union_find(spark):
+    from loomline.llm.components import components, merged
+    from loomline.llm.shared import Scratch
+
+    def brute(pairs):
+        up = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+        return sorted((x, root(x)) for x in up)
+
+    pairs = [(int(a), int(b)) for a, b in np.random.default_rng(1).integers(0, 60, (50, 2)) if a != b] + [(i, i + 1) for i in range(100, 112)]
+    cut, scratch = len(pairs) // 2, Scratch(spark, "components-test")
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    found = components(scratch, frame(pairs[:cut]))
+    assert sorted(tuple(r) for r in found.collect()) == brute(pairs[:cut])
+    assert sorted(tuple(r) for r in merged(scratch, found, frame(pairs[cut:])).collect()) == brute(pairs)
+    assert components(scratch, frame([])).count() == 0
