@@ -1,21 +1,26 @@
 """Near-duplicate documents by an LSH forest of MinHash signatures.
 
-1. One pass makes each document's set of WIDTH-word shingles, its size, a digest of the full set and TREES * DEPTH MinHash
+1. One pass makes each document's set of WIDTH-word shingles, its size, a digest of the full set and trees * DEPTH MinHash
    values. Documents with equal sets are one class from then on (sets are compared by a 128-bit digest of all elements);
    its smallest doc_id stands for it.
-2. The forest: TREES orders of the classes, each sorted by its own DEPTH values (range partitions, so no group has to fit
-   into a task). Classes that agree in a tree's first LEAST_DEPTH values share a region. In each order, a class is linked
-   to the neighbours with the longest common prefix, as deep as its region goes: few in a sparse region, the nearest NEAR
-   in a dense one. A class's BEST most frequent neighbours are confirmed on full sets, and links give components.
-   Then, in regions that hold more than one component, the class with the most links so far (the original of many copies,
-   say, which are less like each other) is confirmed with each class of another component, PIVOTS times.
-3. What that leaves open: regions that hold classes of more than one component. There, all pairs across components whose
+2. The forest: orders of the classes, one a tree, each sorted by its own DEPTH values (range partitions, so no group has to
+   fit into a task). Classes that agree in a tree's first LEAST_DEPTH values share a region. In each order, a class is linked
+   to the NEAR rows before it in its region, which have the longest common prefixes of those before it, and to the region's
+   first. Of its neighbours, the BEST with the most common values over all trees are confirmed on full sets, and links give
+   components. Then, in regions that hold more than one component, the class with the most links so far (the original of many
+   copies, say, which are less like each other) is confirmed with each class of another component, PIVOTS times.
+3. Depth adapts to the region: classes that agree in a tree's first SHALLOW values are candidates as well where no more than
+   FEW share them; where more do, those that agree in one value more, again up to FEW, and so on to LEAST_DEPTH. Candidates
+   of two components whose sizes and sketches (a bit of each MinHash value) allow the threshold are confirmed.
+4. What that leaves open: regions that hold classes of more than one component. There, all pairs across components whose
    signatures allow the threshold are confirmed too, where they meet (a pair only in its first common tree, and a region
    larger than REGION in blocks that meet in pairs), so that nothing but links comes out.
    So every pair that shares a region in any tree is confirmed, or lies in one component already.
 
-At similarity 0.85 a pair shares no region with a probability of (1 - 0.85**5)**16, below 1 in 10,000, and a signature of
-80 values lies SLACK under the threshold with less than 1 in 30,000. Links are always confirmed on the full sets.
+The number of trees follows from the threshold: a pair at similarity p = percent / 100 shares no region of LEAST_DEPTH with a
+probability of (1 - p**LEAST_DEPTH)**trees, which is at most MISS (16 trees at 85 percent, 24 at 80); shallower prefixes only
+lower it. Signatures and sketches exclude a pair at p with a probability of at most UNLIKELY each. Links are always confirmed
+on the full sets.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a text of fewer words than WIDTH is one shingle. Defined results: null
 and empty texts have no shingles and stand alone; rows with the same doc_id are one node, each row keeps its own
@@ -24,28 +29,54 @@ n_shingles; an empty table gives no rows; extra columns are left out.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm import texts as tx
 from loomline.llm.components import components, merged
 from loomline.llm.shared import Scratch
 
-TREES, DEPTH, LEAST_DEPTH = 16, 5, 5
+DEPTH, LEAST_DEPTH, SHALLOW = 8, 5, 3
+MISS, UNLIKELY = 1e-4, 1 / 30_000
 NEAR, BEST, PIVOTS = 3, 2, 2
-REGION = 2_048
-SLACK = 0.17
+FEW, REGION = 8, 2_048
+SKETCH = 128
 
-_rng = np.random.default_rng(2024)
-_FACTORS = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def trees_for(percent: int) -> int:
+    """The least number of trees that misses a pair at the threshold with a probability of at most MISS."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    together = (percent / 100) ** LEAST_DEPTH
+    return 1 if together == 1 else math.ceil(math.log(MISS) / math.log1p(-together))
+
+
+def least_equal(n: int, p: float) -> int:
+    """The largest k such that fewer than k of n values that agree with probability p have a probability of at most UNLIKELY."""
+    if p >= 1:
+        return n
+    below = 0.0
+    for k in range(n + 1):
+        below += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+        if below > UNLIKELY:
+            return k
+    return n
+
+
+@functools.cache
+def _factors(n: int) -> np.ndarray:
+    return np.random.default_rng(2024).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, offsets = tx.utf8(texts)
@@ -57,47 +88,59 @@ def sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(distinct: list[np.ndarray]) -> np.ndarray:
-    """MinHash values (rows: texts) of non-empty sets."""
+def signatures(distinct: list[np.ndarray], n: int) -> np.ndarray:
+    """n MinHash values (rows: texts) of non-empty sets."""
     if not distinct:
-        return np.zeros((0, TREES * DEPTH), np.uint32)
+        return np.zeros((0, n), np.uint32)
     flat = np.concatenate(distinct)
     starts = np.cumsum([0] + [len(s) for s in distinct])[:-1]
-    out = np.empty((len(distinct), TREES * DEPTH), np.uint32)
-    for i, factor in enumerate(_FACTORS):
+    out = np.empty((len(distinct), n), np.uint32)
+    for i, factor in enumerate(_factors(n)):
         out[:, i] = np.minimum.reduceat(flat * factor, starts) >> np.uint64(32)
     return out
 
 
-def _signed(width: int):
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """The lowest bits of the first SKETCH values, as two signed words."""
+    bits = np.zeros((len(sig), SKETCH), np.uint8)
+    bits[:, : sig.shape[1]] = sig[:, :SKETCH] & 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def _signed(width: int, trees: int):
     def run(batches):
         for batch in batches:
             for part in tx.slices(batch):
                 own = sets(part.column("text"), width)
-                full = [s for s in own if len(s)]
-                sig = iter(signatures(full).astype(">u4"))
+                has = np.array([len(s) > 0 for s in own], bool)
+                values = signatures([s for s in own if len(s)], trees * DEPTH)
+                bits = np.zeros((len(own), 2), np.int64)
+                bits[has] = sketches(values)
+                sig = iter(values.astype(">u4"))
                 n = pa.array([len(s) for s in own], pa.int64())
                 digest = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in own], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), n, digest, pa.array([next(sig).tobytes() if len(s) else None for s in own], pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), n, digest, pa.array([next(sig).tobytes() if len(s) else None for s in own], pa.binary()), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["doc_id", "n_shingles", "digest", "sig", "bits_1", "bits_2"])
 
     return run
 
 
 def _neighbours(batches):
-    """Links of each row of a sorted partition to the NEAR rows before it and the first of its region."""
+    """Links of each row of a sorted partition to the NEAR rows before it and the first of its region, and how many values
+    their keys have in common."""
     table = pa.Table.from_batches(list(batches))
     if not table.num_rows:
         return
     tree, node = table.column("tree").to_numpy(), table.column("node").to_numpy()
-    key = np.frombuffer(b"".join(table.column("key").to_pylist()), ">u4").reshape(-1, DEPTH)[:, :LEAST_DEPTH]
-    new = np.concatenate(([True], (tree[1:] != tree[:-1]) | (key[1:] != key[:-1]).any(axis=1)))
+    key = np.frombuffer(b"".join(table.column("key").to_pylist()), ">u4").reshape(-1, DEPTH)
+    new = np.concatenate(([True], (tree[1:] != tree[:-1]) | (key[1:, :LEAST_DEPTH] != key[:-1, :LEAST_DEPTH]).any(axis=1)))
     head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     at = np.arange(len(new))
     for back in range(NEAR + 1):
         to = head if not back else at - back
         use = np.flatnonzero((to >= head) & (to < at) & ((back == 0) | (to > head)))
         if len(use):
-            yield pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(node[to[use]])], ["x", "y"])
+            common = np.logical_and.accumulate(key[use] == key[to[use]], axis=1).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(node[to[use]]), pa.array(common.astype(np.int64))], ["x", "y", "common"])
 
 
 def _confirm(scratch: Scratch, involved: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -120,24 +163,26 @@ def _confirm(scratch: Scratch, involved: DataFrame, pairs: DataFrame, width: int
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
-    scratch = Scratch(spark, "lsh")
-    signed = scratch.keep(docs.select("doc_id", "text").mapInArrow(_signed(width), "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
+    scratch, trees = Scratch(spark, "lsh"), trees_for(percent)
+    signed = scratch.keep(docs.select("doc_id", "text").mapInArrow(_signed(width, trees), "doc_id long, n_shingles long, digest binary, sig binary, bits_1 long, bits_2 long"), "signed")
     full = signed.where("n_shingles > 0")
-    classes = scratch.keep(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
+    classes = scratch.keep(full.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("sig", "bits_1", "bits_2")), F.first("n_shingles").alias("n")), "classes")
 
-    keys = F.array(*(F.struct(F.lit(t).alias("tree"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("key")) for t in range(TREES)))
+    keys = F.array(*(F.struct(F.lit(t).alias("tree"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("key")) for t in range(trees)))
     forest = classes.select("node", F.inline(keys))
     order = ["tree", "key", "node"]
-    near = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "x long, y long")
-    often = near.where("x <> y").groupBy("x", "y").agg(F.count("*").alias("n"))
+    near = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "x long, y long, common long")
+    often = near.where("x <> y").groupBy("x", "y").agg(F.sum("common").alias("n"))
     rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("n"), "y"))
     first = scratch.keep(often.withColumn("rank", rank).where(F.col("rank") <= BEST).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "first")
 
-    # texts of classes that share a region with another one: only they are ever compared
     region = F.xxhash64("tree", F.substring("key", 1, 4 * LEAST_DEPTH))
     regions = scratch.keep(forest.select("node", "tree", region.alias("region")), "regions")
+    sparse = _shallow_pairs(scratch, classes, keys, percent, trees)
+
+    # texts of classes that share a region with another one, or are candidates in a sparse one: only they are ever compared
     shared = regions.groupBy("region").agg(F.count("*").alias("members")).where("members > 1").select("region")
-    wanted = regions.join(shared, "region").select(F.col("node").alias("doc_id")).distinct()
+    wanted = regions.join(shared, "region").select(F.col("node").alias("doc_id")).unionByName(sparse.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct()
     involved = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id"), "involved")
 
     links = _confirm(scratch, involved, first, width, percent)
@@ -151,7 +196,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
         more = _confirm(scratch, involved, star, width, percent)
         links, found, tried = links.unionByName(more), merged(scratch, found, more), tried.unionByName(star)
 
-    late = scratch.keep(_open_links(regions, classes, found, involved, width, percent), "late")
+    more = _confirm(scratch, involved, _across(sparse.join(tried, ["a", "b"], "left_anti"), found), width, percent)
+    if not more.isEmpty():
+        found = merged(scratch, found, more)
+
+    late = scratch.keep(_open_links(regions, classes, found, involved, width, percent, trees), "late")
     if not late.isEmpty():
         found = merged(scratch, found, late)
     scratch.drop(involved, regions)
@@ -161,6 +210,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def _shallow_pairs(scratch: Scratch, classes: DataFrame, keys: Column, percent: int, trees: int) -> DataFrame:
+    """Pairs (a > b) that share a prefix of SHALLOW values or more, short of LEAST_DEPTH, with FEW classes at most, and whose
+    sizes and sketches allow the threshold."""
+    prefix = {d: F.xxhash64("tree", F.substring("key", 1, 4 * d)).alias(f"at_{d}") for d in range(SHALLOW, LEAST_DEPTH)}
+    rows = classes.select("node", "n", "bits_1", "bits_2", F.inline(keys)).select("node", "n", "bits_1", "bits_2", *prefix.values())
+    member = F.struct("node", "n", "bits_1", "bits_2")
+    used = min(SKETCH, trees * DEPTH)
+    most = used - least_equal(used, (1 + percent / 100) / 2)
+    found, held = None, []
+    for d in prefix:
+        sizes = scratch.keep(rows.groupBy(f"at_{d}").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
+        held.append(sizes)
+        groups = rows.join(sizes.where(F.col("members") <= FEW), f"at_{d}").groupBy(f"at_{d}").agg(F.collect_list(member).alias("x"))
+        pairs = groups.select("x", F.explode("x").alias("p")).select("p", F.explode("x").alias("q")).where("p.node > q.node")
+        pairs = pairs.where(100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n"))
+        pairs = pairs.where(f"bit_count(p.bits_1 ^ q.bits_1) + bit_count(p.bits_2 ^ q.bits_2) <= {most}").select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+        found = found.unionByName(pairs) if found is not None else pairs
+        rows = rows.join(sizes.where(F.col("members") > FEW).select(f"at_{d}"), f"at_{d}", "left_semi")
+    made = scratch.keep(found.distinct(), "shallow")
+    scratch.drop(*held)
+    return made
+
+
+def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in two components."""
+    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def _in_components(regions: DataFrame, found: DataFrame) -> DataFrame:
     return regions.join(found, "node", "left").select("node", "tree", "region", F.coalesce("component", "node").alias("component")).distinct()
 
@@ -175,7 +253,7 @@ def _pivot_pairs(regions: DataFrame, classes: DataFrame, found: DataFrame, links
     return met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
 
 
-def _open_links(regions: DataFrame, classes: DataFrame, found: DataFrame, involved: DataFrame, width: int, percent: int) -> DataFrame:
+def _open_links(regions: DataFrame, classes: DataFrame, found: DataFrame, involved: DataFrame, width: int, percent: int, trees: int) -> DataFrame:
     """Links (a > b) between classes of one region and two components; full sets are compared where signatures and sizes
     allow the threshold."""
     named = _in_components(regions, found)
@@ -186,7 +264,7 @@ def _open_links(regions: DataFrame, classes: DataFrame, found: DataFrame, involv
     rows = rows.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("node", "component", "sig", "n", "text", "tree", "region", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    allowed = percent / 100 - SLACK
+    allowed = least_equal(trees * DEPTH, percent / 100)
 
     def compared(t: pa.Table):
         """Pairs of whole groups, which stand one after another."""
@@ -204,8 +282,8 @@ def _open_links(regions: DataFrame, classes: DataFrame, found: DataFrame, involv
             at = np.flatnonzero(ok) + i + 1
             if len(at):
                 same = sig[at] == sig[i]
-                first_tree = same.reshape(len(at), TREES, DEPTH)[:, :, :LEAST_DEPTH].all(axis=2).argmax(axis=1)
-                at = at[(same.mean(axis=1) >= allowed) & (first_tree == tree[i])]
+                first_tree = same.reshape(len(at), trees, DEPTH)[:, :, :LEAST_DEPTH].all(axis=2).argmax(axis=1)
+                at = at[(same.sum(axis=1) >= allowed) & (first_tree == tree[i])]
                 a.append(np.full(len(at), i))
                 b.append(at)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))

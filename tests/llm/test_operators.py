@@ -177,6 +177,43 @@ def test_op8_equals_brute_force(spark, odd, none, docs):
     assert lsh_forest.near_duplicates(spark, none).count() == 0 and lsh_forest.near_duplicates(spark, odd).count() == len(ODD)
 
 
+def test_op8_recall_at_the_threshold(spark):
+    for percent, trees in ((85, 16), (80, 24)):
+        assert lsh_forest.trees_for(percent) == trees and (1 - (percent / 100) ** lsh_forest.LEAST_DEPTH) ** trees <= 1e-4
+    pairs = 4_000  # each at 40 common shingles of 50
+    rows = [(2 * k + i, " ".join(f"w{k}x{j}" + "z" * (i * (j == 24)) for j in range(49))) for k in range(pairs) for i in (0, 1)]
+    found = lsh_forest.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 5, 80)
+    assert found.where("component_id = doc_id - doc_id % 2").count() == 2 * pairs
+
+
+def test_op8_neighbours_have_the_longest_prefixes():
+    import pyarrow as pa
+
+    keys = sorted([0] * 5 + [i % 2, i % 3, i] for i in range(12))
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 12), pa.array(range(12)), pa.array([np.array(k, ">u4").tobytes() for k in keys])], ["tree", "node", "key"])
+    got = [r for b in lsh_forest._neighbours([batch]) for r in b.to_pylist()]
+    prefix = lambda a, b: next((d for d, (x, y) in enumerate(zip(keys[a], keys[b])) if x != y), 8)
+    assert all(r["common"] == prefix(r["x"], r["y"]) for r in got)
+    assert all(max(r["common"] for r in got if r["x"] == x) == max(prefix(x, y) for y in range(x)) for x in range(1, 12))
+
+
+def test_op8_sparse_prefixes_find_pairs_that_share_no_region(spark):
+    trees = lsh_forest.trees_for(80)
+    sig = np.random.default_rng(1).integers(0, 1 << 32, (20, trees * lsh_forest.DEPTH), dtype=np.uint32)
+    sig[1] = sig[0]
+    sig[1, lsh_forest.LEAST_DEPTH - 1 :: lsh_forest.DEPTH] ^= 2  # each tree agrees in 4 values
+    sig[3, :3] = sig[2, :3]  # a chance, not a copy
+    sig[4:, :3] = sig[4, :3]  # a dense prefix of 3; one pair in it agrees in 4 values and is alike
+    sig[6] = sig[5]
+    sig[6, lsh_forest.LEAST_DEPTH - 1 :: lsh_forest.DEPTH] ^= 2
+    sig[6, lsh_forest.DEPTH :: lsh_forest.DEPTH] ^= 2  # and only in the first tree
+    bits = lsh_forest.sketches(sig)
+    rows = [(i, bytearray(s.astype(">u4").tobytes()), int(b[0]), int(b[1]), 50) for i, (s, b) in enumerate(zip(sig, bits, strict=True))]
+    classes = spark.createDataFrame(rows, "node long, sig binary, bits_1 long, bits_2 long, n long")
+    keys = F.array(*(F.struct(F.lit(t).alias("tree"), F.substring("sig", 32 * t + 1, 32).alias("key")) for t in range(trees)))
+    assert {tuple(r) for r in lsh_forest._shallow_pairs(Scratch(spark, "t"), classes, keys, 80, trees).collect()} == {(1, 0), (6, 5)}
+
+
 def test_op9_odd(spark):
     nan, inf = float("nan"), float("inf")
     v = [(0, [1.0, 0.5]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, None), (5, [None, 1.0]), (6, [1.0]), (50, [0.5, -0.3]), (7, [-1.0, 0.25])]
