@@ -24,7 +24,9 @@ on the full sets.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a text of fewer words than WIDTH is one shingle. Defined results: null
 and empty texts have no shingles and stand alone; rows with the same doc_id are one node, each row keeps its own
-n_shingles; an empty table gives no rows; extra columns are left out.
+n_shingles; of rows with the same doc_id and set of shingles, one is kept; rows with a null doc_id stand outside the graph, with
+a null component_id, and are kept; an empty table gives no rows; extra columns are left out. distinct_documents decides by
+row instead, whatever the ids: see there.
 """
 
 from __future__ import annotations
@@ -165,7 +167,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
     scratch, trees = Scratch(spark, "lsh"), trees_for(percent)
     signed = scratch.keep(docs.select("doc_id", "text").mapInArrow(_signed(width, trees), "doc_id long, n_shingles long, digest binary, sig binary, bits_1 long, bits_2 long"), "signed")
-    full = signed.where("n_shingles > 0")
+    full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.keep(full.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("sig", "bits_1", "bits_2")), F.first("n_shingles").alias("n")), "classes")
 
     keys = F.array(*(F.struct(F.lit(t).alias("tree"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("key")) for t in range(trees)))
@@ -185,7 +187,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     wanted = regions.join(shared, "region").select(F.col("node").alias("doc_id")).unionByName(sparse.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct()
     involved = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id"), "involved")
 
-    links = _confirm(scratch, involved, first, width, percent)
+    # an id with several sets of shingles joins their classes
+    several = full.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("doc_id")
+    same = full.join(several, "doc_id").join(classes.select("digest", "node"), "digest").where("doc_id <> node")
+    same = scratch.keep(same.select(F.greatest("doc_id", "node").alias("a"), F.least("doc_id", "node").alias("b")).distinct(), "same")
+    links = _confirm(scratch, involved, first, width, percent).unionByName(same)
     found = scratch.keep(components(scratch, links), "components")
 
     tried = first
@@ -206,8 +212,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     scratch.drop(involved, regions)
 
     named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = signed.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    repeat = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("n_shingles"))
+    known = signed.where("doc_id IS NOT NULL AND n_shingles > 0").withColumn("repeat", repeat)
+    rows = known.unionByName(signed.where("doc_id IS NULL OR n_shingles = 0").withColumn("repeat", F.lit(1)))
+    out = rows.join(named, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"), "repeat")
+    kept = F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("repeat") == 1))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without near copies, all columns: of each component of rows, the one with the smallest doc_id (a null
+    id counts as the largest). Rows are nodes here, by a key written beside a copy of them: rows with a null doc_id and rows
+    that share one are compared like any others, and rows without shingles are all kept."""
+    scratch = Scratch(spark, "lsh-rows")
+    key = "_row"
+    rows = scratch.keep(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(spark, rows.select(F.col(key).alias("doc_id"), "text"), width, percent)
+    named = scratch.keep(found.select(F.col("doc_id").alias(key), "component_id"), "found")
+    ids = rows.select(key, F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    first = named.join(ids, key).groupBy("component_id").agg(F.min(F.struct("none", "id", key)).alias("first"))
+    return rows.join(first.select(F.col(f"first.{key}").alias(key)), key, "left_semi").select(*docs.columns)
 
 
 def _shallow_pairs(scratch: Scratch, classes: DataFrame, keys: Column, percent: int, trees: int) -> DataFrame:

@@ -214,6 +214,21 @@ def test_op8_sparse_prefixes_find_pairs_that_share_no_region(spark):
     assert {tuple(r) for r in lsh_forest._shallow_pairs(Scratch(spark, "t"), classes, keys, 80, trees).collect()} == {(1, 0), (6, 5)}
 
 
+def test_op8_null_and_repeated_ids(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    near = text["a"].replace("a59", "other")
+    rows = [(None, text["a"]), (None, near), (None, text["b"]), (None, text["b"]), (None, None), (None, ""), (4, text["a"]), (7, text["a"]), (7, text["c"]), (7, text["c"]), (9, text["d"]), (9, near), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in lsh_forest.near_duplicates(spark, df.where("doc_id IS NULL OR doc_id < 9")).collect())
+    assert got == [(0, 0, None, True)] * 2 + [(0, 56, None, True)] * 4 + [(4, 56, 4, True)] + [(7, 56, 4, False)] * 3
+    alone = spark.createDataFrame([(3, text["c"]), (3, text["c"])], df.schema)
+    assert sorted(r.kept for r in lsh_forest.near_duplicates(spark, alone).collect()) == [False, True]
+    stage = corpus_pipeline.near_duplicates(spark, df.withColumn("lang", F.lit("en")), DATA)
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in stage.collect()), key=str)
+    assert stage.columns == ["doc_id", "text", "lang"]
+    assert kept == sorted([(0, ""), (0, ""), (0, text["b"]), (4, text["a"]), (7, text["c"]), (9, ""), (9, text["d"])], key=str)
+
+
 def test_op9_odd(spark):
     nan, inf = float("nan"), float("inf")
     v = [(0, [1.0, 0.5]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, None), (5, [None, 1.0]), (6, [1.0]), (50, [0.5, -0.3]), (7, [-1.0, 0.25])]
