@@ -3,8 +3,8 @@
 Byte-level BPE cuts a text into words by a fixed pattern and merges inside words only, so the ids of a text are the ids of
 its words one after another. A worker therefore remembers ids of words in bounded tables, and asks the library's model for
 new words only. Texts in which spaces and line breaks only stand singly between other characters are cut at these (the
-pattern always cuts there), others by the pattern, and texts with characters beyond U+024F go to the library whole (the
-pattern's classes are spelled out here only up to there).
+pattern always cuts there), others by the pattern. Texts with characters beyond U+024F (the pattern's classes are spelled
+out here only up to there) and texts that hold a special token's string go to the library whole.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from array import array
 from functools import cache
 
 #: A worker's table holds at most twice as many words: those used since the last turn, and those before.
-MAX_WORDS = 800_000
+MAX_WORDS = 200_000
 
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -48,7 +48,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
@@ -84,10 +84,10 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if odd := _ODD.search(text):
-            if odd[0] > "ɏ" or _BEYOND.search(text):
-                return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        elif text:
+        odd = _ODD.search(text)
+        if odd and (odd[0] > "ɏ" or _BEYOND.search(text)) or any(t in text for t in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if text and not odd:
             cut = text.replace("\n", " \n").split(" ")
             try:
                 return self._by_pattern(cut.pop(0)) + self._joined(cut, self._run)

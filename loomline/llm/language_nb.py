@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.llm import texts as tx
-from loomline.llm.shared import bounded_sample, held_out
+from loomline.llm.shared import bounded_sample, held_out, lean
 
 BUCKETS = 1 << 16
 #: n-grams of these lengths are counted.
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> LanguageModel:
     """Learn from (doc_id, text, lang) of documents that are not held out. Bucket -1 counts documents."""
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = bounded_sample(usable.select("doc_id", "text", "lang"), "doc_id", max_train_docs, 7)
-    counts = sample.select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.select("text", "lang").mapInArrow(lean(_counted), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts.lang.unique())
     if not languages:
         return LanguageModel([], np.zeros(0), np.zeros((0, BUCKETS + 1), np.float32))
@@ -117,4 +117,4 @@ def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, lang_col
                 langs, score = held.value.predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(langs, pa.string()), pa.array(score)], [*names, lang_col, score_col])
 
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(lean(run), schema)

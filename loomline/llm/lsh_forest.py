@@ -10,12 +10,14 @@
    components. Then, in regions that hold more than one component, the class with the most links so far (the original of many
    copies, say, which are less like each other) is confirmed with each class of another component, PIVOTS times.
 3. Depth adapts to the region: classes that agree in a tree's first SHALLOW values are candidates as well where no more than
-   FEW share them; where more do, those that agree in one value more, again up to FEW, and so on to LEAST_DEPTH. Candidates
-   of two components whose sizes and sketches (a bit of each MinHash value) allow the threshold are confirmed.
+   FEW share them; where more do, those that agree in one value more, again up to FEW, and so on to LEAST_DEPTH. The same
+   pass over the sorted orders finds them (but for a group that the end of a range cuts). Candidates of two components whose
+   sizes and sketches (a bit of each MinHash value) allow the threshold are confirmed.
 4. What that leaves open: regions that hold classes of more than one component. There, all pairs across components whose
    signatures allow the threshold are confirmed too, where they meet (a pair only in its first common tree, and a region
-   larger than REGION in blocks that meet in pairs), so that nothing but links comes out.
-   So every pair that shares a region in any tree is confirmed, or lies in one component already.
+   larger than REGION in blocks that meet in pairs), so that nothing but links comes out. Signatures meet first, and texts
+   only of classes that have a partner then.
+   So every pair that shares a region in any tree and whose signatures allow it is confirmed, or lies in one component already.
 
 The number of trees follows from the threshold: a pair at similarity p = percent / 100 shares no region of LEAST_DEPTH with a
 probability of (1 - p**LEAST_DEPTH)**trees, which is at most MISS (16 trees at 85 percent, 24 at 80); shallower prefixes only
@@ -42,12 +44,12 @@ from pyspark.sql import functions as F
 
 from loomline.llm import texts as tx
 from loomline.llm.components import components, merged
-from loomline.llm.shared import Scratch
+from loomline.llm.shared import Scratch, lean
 
 DEPTH, LEAST_DEPTH, SHALLOW = 8, 5, 3
 MISS, UNLIKELY = 1e-4, 1 / 30_000
 NEAR, BEST, PIVOTS = 3, 2, 2
-FEW, REGION = 8, 2_048
+FEW, REGION = 8, 1_024
 SKETCH = 128
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -126,23 +128,78 @@ def _signed(width: int, trees: int):
     return run
 
 
-def _neighbours(batches):
-    """Links of each row of a sorted partition to the NEAR rows before it and the first of its region, and how many values
-    their keys have in common."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
-        return
-    tree, node = table.column("tree").to_numpy(), table.column("node").to_numpy()
-    key = np.frombuffer(b"".join(table.column("key").to_pylist()), ">u4").reshape(-1, DEPTH)
-    new = np.concatenate(([True], (tree[1:] != tree[:-1]) | (key[1:, :LEAST_DEPTH] != key[:-1, :LEAST_DEPTH]).any(axis=1)))
-    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    at = np.arange(len(new))
-    for back in range(NEAR + 1):
-        to = head if not back else at - back
-        use = np.flatnonzero((to >= head) & (to < at) & ((back == 0) | (to > head)))
-        if len(use):
-            common = np.logical_and.accumulate(key[use] == key[to[use]], axis=1).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(node[to[use]]), pa.array(common.astype(np.int64))], ["x", "y", "common"])
+def _forest_pairs(percent: int, trees: int):
+    """A function of the sorted rows of a range of the forest: candidate pairs (x, y, common, near, sparse) whose sizes and
+    sketches allow the threshold. near: y is one of the NEAR rows before x in its region, or the region's first; sparse: a
+    prefix of SHALLOW values or more is shared by FEW rows at most. Rows are read in stretches; what is held over is the
+    region's first row and the last FEW + 1."""
+    used = min(SKETCH, trees * DEPTH)
+    most = used - least_equal(used, (1 + percent / 100) / 2)
+    columns = ("tree", "node", "n", "bits_1", "bits_2")
+
+    def pairs(rows: dict[str, np.ndarray], lead: int, last: bool):
+        """Pairs of rows (the first `lead` of them have been seen), and which rows to hold over."""
+        key, tree, n = rows["key"], rows["tree"], rows["n"]
+        at = np.arange(len(tree))
+        split = lambda d: np.concatenate(([True], (tree[1:] != tree[:-1]) | (key[1:, :d] != key[:-1, :d]).any(axis=1)))
+        head = np.maximum.accumulate(np.where(split(LEAST_DEPTH), at, 0))
+        found = []
+        for back in range(NEAR + 1):
+            to = head if not back else at - back
+            use = at[(at >= lead) & (to >= head) & (to < at) & ((back == 0) | (to > head))]
+            found.append((use, to[use], np.ones(len(use), bool)))
+        dense, open_before = np.ones(len(at), bool), np.zeros(len(at), bool)
+        for d in range(SHALLOW, LEAST_DEPTH):
+            new = split(d)
+            group = np.cumsum(new) - 1
+            size = np.bincount(group)
+            end = np.cumsum(size)
+            ended = last | (end < len(at))
+            # not given before: it hadn't ended, or wasn't known to lie in a dense one
+            few = dense & (ended & (size <= FEW))[group] & ((end >= lead)[group] | open_before)
+            dense &= (size > FEW)[group]
+            open_before |= ((end >= lead) & (np.bincount(group[:lead], minlength=len(size)) <= FEW))[group]
+            for back in range(1, min(FEW, len(at))):
+                use = at[back:][few[back:] & (group[back:] == group[: len(at) - back])]
+                found.append((use, use - back, np.zeros(len(use), bool)))
+        x, y, near = (np.concatenate(c) for c in zip(*found, strict=True))
+        apart = np.bitwise_count(rows["bits_1"][x] ^ rows["bits_1"][y]).astype(np.int64) + np.bitwise_count(rows["bits_2"][x] ^ rows["bits_2"][y])
+        ok = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (apart <= most) & (rows["node"][x] != rows["node"][y])
+        x, y, near = x[ok], y[ok], near[ok]
+        common = np.logical_and.accumulate(key[x] == key[y], axis=1).sum(axis=1)
+        hold = at[-(FEW + 1) :]
+        if len(at) and head[-1] < hold[0]:
+            hold = np.concatenate((head[-1:], hold))
+        return pa.RecordBatch.from_arrays([pa.array(rows["node"][x]), pa.array(rows["node"][y]), pa.array(common.astype(np.int64)), pa.array(near.astype(np.int32)), pa.array((~near).astype(np.int32))], ["x", "y", "common", "near", "sparse"]), hold
+
+    def run(batches):
+        held, lead = None, 0
+        for batch in batches:
+            rows = {c: batch.column(c).to_numpy() for c in columns}
+            rows["bits_1"], rows["bits_2"] = rows["bits_1"].view(np.uint64), rows["bits_2"].view(np.uint64)
+            rows["key"] = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u4").reshape(-1, DEPTH)
+            if held is not None:
+                rows = {c: np.concatenate((held[c], rows[c])) for c in rows}
+            if not len(rows["tree"]):
+                continue
+            out, hold = pairs(rows, lead, False)
+            yield out
+            held, lead = {c: v[hold] for c, v in rows.items()}, len(hold)
+        if held is not None:  # the group at the end
+            yield pairs(held, lead, True)[0]
+
+    return run
+
+
+def _with_text(rows: DataFrame, pairs: DataFrame, involved: DataFrame, side: str, other: str) -> DataFrame:
+    """rows (those of the pairs, maybe with more columns) with text_<side>. An id that many pairs share is dealt out: it has
+    more than a thousandth of all pairs, so there are no more than 2,000 such ids, and their table is broadcast."""
+    part = max(1_000, pairs.count() // 1_000)
+    hot = F.broadcast(pairs.groupBy(side).agg(F.ceil(F.count("*") / part).cast("int").alias("_parts")).where("_parts > 1"))
+    dealt = rows.join(hot, side, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(other), "_parts"), F.lit(0)).cast("bigint")).drop("_parts")
+    texts = involved.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")).join(hot, side, "left")
+    texts = texts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1).cast("array<bigint>"))).drop("_parts")
+    return dealt.join(texts, [side, "_part"]).drop("_part")
 
 
 def _confirm(scratch: Scratch, involved: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -158,33 +215,36 @@ def _confirm(scratch: Scratch, involved: DataFrame, pairs: DataFrame, width: int
                     keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = pairs.join(involved.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(involved.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return scratch.keep(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    pairs = scratch.keep(pairs.select("a", "b"), "pairs")
+    both = _with_text(_with_text(pairs, pairs, involved, "a", "b"), pairs, involved, "b", "a")
+    return scratch.keep(both.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long"), "links")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
     scratch, trees = Scratch(spark, "lsh"), trees_for(percent)
-    signed = scratch.keep(docs.select("doc_id", "text").mapInArrow(_signed(width, trees), "doc_id long, n_shingles long, digest binary, sig binary, bits_1 long, bits_2 long"), "signed")
+    signed = scratch.keep(docs.select("doc_id", "text").mapInArrow(lean(_signed(width, trees)), "doc_id long, n_shingles long, digest binary, sig binary, bits_1 long, bits_2 long"), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.keep(full.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("sig", "bits_1", "bits_2")), F.first("n_shingles").alias("n")), "classes")
 
     keys = F.array(*(F.struct(F.lit(t).alias("tree"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("key")) for t in range(trees)))
-    forest = classes.select("node", F.inline(keys))
+    forest = classes.select("node", F.col("n").cast("int").alias("n"), "bits_1", "bits_2", F.inline(keys))
     order = ["tree", "key", "node"]
-    near = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "x long, y long, common long")
-    often = near.where("x <> y").groupBy("x", "y").agg(F.sum("common").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("n"), "y"))
-    first = scratch.keep(often.withColumn("rank", rank).where(F.col("rank") <= BEST).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "first")
-
+    met = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(_forest_pairs(percent, trees)), "x long, y long, common long, near int, sparse int")
+    met = scratch.keep(met.groupBy("x", "y").agg(F.sum(F.col("common") * F.col("near")).alias("common"), F.max("near").alias("near"), F.max("sparse").alias("sparse")), "met")
+    pair = [F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")]
+    rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("common"), "y"))
+    first = scratch.keep(met.where("near = 1").withColumn("rank", rank).where(F.col("rank") <= BEST).select(*pair).distinct(), "first")
+    sparse = met.where("sparse = 1").select(*pair).distinct()
+
+    # regions that hold one class only are left out from here on
     region = F.xxhash64("tree", F.substring("key", 1, 4 * LEAST_DEPTH))
-    regions = scratch.keep(forest.select("node", "tree", region.alias("region")), "regions")
-    sparse = _shallow_pairs(scratch, classes, keys, percent, trees)
+    every = classes.select("node", F.inline(keys)).select("node", F.col("tree").cast("byte").alias("tree"), region.alias("region"))
+    shared = every.groupBy("region").agg(F.count("*").alias("members")).where("members > 1").select("region")
+    regions = scratch.keep(every.join(shared, "region").select("node", "tree", "region"), "regions")
 
     # texts of classes that share a region with another one, or are candidates in a sparse one: only they are ever compared
-    shared = regions.groupBy("region").agg(F.count("*").alias("members")).where("members > 1").select("region")
-    wanted = regions.join(shared, "region").select(F.col("node").alias("doc_id")).unionByName(sparse.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct()
+    wanted = regions.select(F.col("node").alias("doc_id")).unionByName(sparse.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct()
     involved = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id"), "involved")
 
     # an id with several sets of shingles joins their classes
@@ -206,10 +266,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     if not more.isEmpty():
         found = merged(scratch, found, more)
 
-    late = scratch.keep(_open_links(regions, classes, found, involved, width, percent, trees), "late")
+    late = scratch.keep(_open_links(scratch, regions, classes, found, involved, width, percent, trees), "late")
     if not late.isEmpty():
         found = merged(scratch, found, late)
-    scratch.drop(involved, regions)
+    scratch.drop(involved, regions, met, first)
 
     named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -235,29 +295,6 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, width: int = 5, per
     return rows.join(first.select(F.col(f"first.{key}").alias(key)), key, "left_semi").select(*docs.columns)
 
 
-def _shallow_pairs(scratch: Scratch, classes: DataFrame, keys: Column, percent: int, trees: int) -> DataFrame:
-    """Pairs (a > b) that share a prefix of SHALLOW values or more, short of LEAST_DEPTH, with FEW classes at most, and whose
-    sizes and sketches allow the threshold."""
-    prefix = {d: F.xxhash64("tree", F.substring("key", 1, 4 * d)).alias(f"at_{d}") for d in range(SHALLOW, LEAST_DEPTH)}
-    rows = classes.select("node", "n", "bits_1", "bits_2", F.inline(keys)).select("node", "n", "bits_1", "bits_2", *prefix.values())
-    member = F.struct("node", "n", "bits_1", "bits_2")
-    used = min(SKETCH, trees * DEPTH)
-    most = used - least_equal(used, (1 + percent / 100) / 2)
-    found, held = None, []
-    for d in prefix:
-        sizes = scratch.keep(rows.groupBy(f"at_{d}").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
-        held.append(sizes)
-        groups = rows.join(sizes.where(F.col("members") <= FEW), f"at_{d}").groupBy(f"at_{d}").agg(F.collect_list(member).alias("x"))
-        pairs = groups.select("x", F.explode("x").alias("p")).select("p", F.explode("x").alias("q")).where("p.node > q.node")
-        pairs = pairs.where(100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n"))
-        pairs = pairs.where(f"bit_count(p.bits_1 ^ q.bits_1) + bit_count(p.bits_2 ^ q.bits_2) <= {most}").select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
-        found = found.unionByName(pairs) if found is not None else pairs
-        rows = rows.join(sizes.where(F.col("members") > FEW).select(f"at_{d}"), f"at_{d}", "left_semi")
-    made = scratch.keep(found.distinct(), "shallow")
-    scratch.drop(*held)
-    return made
-
-
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs whose ends lie in two components."""
     of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
@@ -278,21 +315,22 @@ def _pivot_pairs(regions: DataFrame, classes: DataFrame, found: DataFrame, links
     return met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
 
 
-def _open_links(regions: DataFrame, classes: DataFrame, found: DataFrame, involved: DataFrame, width: int, percent: int, trees: int) -> DataFrame:
-    """Links (a > b) between classes of one region and two components; full sets are compared where signatures and sizes
-    allow the threshold."""
+def _open_links(scratch: Scratch, regions: DataFrame, classes: DataFrame, found: DataFrame, involved: DataFrame, width: int, percent: int, trees: int) -> DataFrame:
+    """Links (a > b) between classes of one region and two components. A first pass over signatures finds the classes of
+    each block that have a partner whose signature and size allow the threshold; only those meet again with their texts, and
+    their full sets are compared."""
     named = _in_components(regions, found)
     mixed = named.groupBy("region").agg(F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("region", "members")
-    rows = named.join(mixed, "region").join(classes.select("node", "sig", "n"), "node").join(involved.withColumnRenamed("doc_id", "node"), "node")
+    rows = named.join(mixed, "region").join(classes.select("node", "sig", "n"), "node")
     # blocks of a large region, each pair of blocks a group of its own
     n_blocks = F.ceil(F.col("members") / REGION).cast("int")
     rows = rows.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "component", "sig", "n", "text", "tree", "region", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    rows = rows.select("node", "component", "sig", "n", F.col("tree").cast("int").alias("tree"), "region", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     allowed = least_equal(trees * DEPTH, percent / 100)
 
     def compared(t: pa.Table):
-        """Pairs of whole groups, which stand one after another."""
+        """Whole groups, which stand one after another: their links, or (without texts) the rows that may have one."""
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u4").reshape(t.num_rows, -1).astype(np.uint32)
         node, comp, n, block, region, one, two = (t.column(c).to_numpy() for c in ("node", "component", "n", "block", "region", "one", "two"))
         last = np.concatenate(((region[1:] != region[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]), [True]))
@@ -313,6 +351,8 @@ def _open_links(regions: DataFrame, classes: DataFrame, found: DataFrame, involv
                 b.append(at)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         wanted, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        if "text" not in t.column_names:
+            return t.select(["node", "region", "one", "two"]).take(pa.array(wanted)).to_batches()
         full = sets(t.column("text").take(pa.array(wanted)).combine_chunks(), width) if len(wanted) else []
         linked = np.zeros(len(a), bool)
         for k, (i, j) in enumerate(zip(place[: len(a)], place[len(a) :], strict=True)):
@@ -320,7 +360,7 @@ def _open_links(regions: DataFrame, classes: DataFrame, found: DataFrame, involv
             both = int((r[np.minimum(np.searchsorted(r, s), len(r) - 1)] == s).sum())
             linked[k] = 100 * both >= percent * (len(s) + len(r) - both)
         a, b = node[a[linked]], node[b[linked]]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        return [pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -329,14 +369,17 @@ def _open_links(regions: DataFrame, classes: DataFrame, found: DataFrame, involv
             cut = np.flatnonzero((region != region[-1]) | (one != one[-1]) | (two != two[-1]))
             whole = int(cut[-1]) + 1 if len(cut) else 0
             if whole:
-                yield compared(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+                yield from compared(pa.Table.from_batches([*held, batch.slice(0, whole)]))
                 held = []
             held.append(batch.slice(whole))
             if len(held) > 1 and (held[0].column("region")[0], held[0].column("one")[0], held[0].column("two")[0]) != (held[1].column("region")[0], held[1].column("one")[0], held[1].column("two")[0]):
-                yield compared(pa.Table.from_batches(held[:-1]))
+                yield from compared(pa.Table.from_batches(held[:-1]))
                 held = held[-1:]
         if held:
-            yield compared(pa.Table.from_batches(held))
+            yield from compared(pa.Table.from_batches(held))
 
     keys = ["region", "one", "two"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    meet = lambda df, out: df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), out)
+    may = scratch.keep(meet(rows, "node long, region long, one int, two int").distinct(), "may")
+    again = rows.join(may, ["node", *keys]).join(involved.withColumnRenamed("doc_id", "node"), "node")
+    return meet(again, "a long, b long").where("a <> b").distinct()

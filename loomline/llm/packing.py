@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from loomline.llm.bpe import encoder
+from loomline.llm.shared import lean
 from loomline.llm.token_orc import ids_array
 
 LENGTH = 1024
@@ -142,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, b
         if raw:
             yield from packed(ids, raw, next_id)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), SCHEMA)
 
 
 def digest(packed: DataFrame) -> DataFrame:
@@ -154,4 +155,4 @@ def digest(packed: DataFrame) -> DataFrame:
             crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(crc, pa.int64())], [*names, "ids_crc32"])
 
-    return packed.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "ids_crc32"]))
+    return packed.mapInArrow(lean(run), ", ".join(f"{c} long" for c in [*names, "ids_crc32"]))

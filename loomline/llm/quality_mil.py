@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.llm import texts as tx
-from loomline.llm.shared import bounded_sample, held_out
+from loomline.llm.shared import bounded_sample, held_out, lean
 
 PASSAGE = 512
 PAIRS = 256
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
     bounded number of rows, and so are broadcast."""
     usable = labels.where(~held_out() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("long").alias("quality"))
     picked = F.broadcast(bounded_sample(usable, "doc_id", max_train_docs, 6))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").mapInArrow(_encoded, "doc_id long, y long, x binary").toPandas().sort_values(["doc_id", "y", "x"], kind="stable")
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").mapInArrow(lean(_encoded), "doc_id long, y long, x binary").toPandas().sort_values(["doc_id", "y", "x"], kind="stable")
     bags = [np.frombuffer(b, np.float16).reshape(-1, WIDTH).astype(np.float32) for b in rows.x]
     return train(np.concatenate(bags or [np.zeros((0, WIDTH), np.float32)]), np.concatenate(([0], np.cumsum([len(b) for b in bags]))).astype(int), (rows.y.to_numpy() > 0).astype(np.float32))
 
@@ -190,4 +190,4 @@ def score(spark: SparkSession, docs: DataFrame, model: MilModel, score_col: str
             for part in tx.slices(batch):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(held.value.score(part.column("text")))], [*names, score_col])
 
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, T.StructType([*kept, T.StructField(score_col, T.DoubleType())]))
+    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(lean(run), T.StructType([*kept, T.StructField(score_col, T.DoubleType())]))

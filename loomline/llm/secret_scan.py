@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.shared import bounded_sample
+from loomline.llm.shared import bounded_sample, lean
 
 KINDS = ("assign", "access", "hex", "random")
 #: The ordinary model learns from tokens of about so many documents (all, if there are fewer).
@@ -142,7 +142,7 @@ def _ordinary_pairs(batches):
 def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> MarkovPair:
     """Both models; what comes to the driver is at most STATES * STATES counts."""
     sample = bounded_sample(docs.select("doc_id", "text").where("text IS NOT NULL"), "doc_id", max_train_docs, 5)
-    pairs = sample.select("text").mapInArrow(_ordinary_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    pairs = sample.select("text").mapInArrow(lean(_ordinary_pairs), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     ordinary = _counts(labelled_ordinary())
     here = np.zeros(STATES * STATES)
     here[pairs.pair.to_numpy()] = pairs.n.to_numpy()
@@ -164,7 +164,7 @@ def scan(spark: SparkSession, docs: DataFrame, model: MarkovPair, spans_col: str
             rows = [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in sorted(s, key=lambda x: (x[1], x[0], x[2]))] for s in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, arrow)], [*names, spans_col])
 
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, T.StructType([*kept, T.StructField(spans_col, kind)]))
+    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(lean(run), T.StructType([*kept, T.StructField(spans_col, kind)]))
 
 
 def redact(docs: DataFrame, spans_col: str = "secret_spans", mark: str = "[SECRET]") -> DataFrame:

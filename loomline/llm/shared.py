@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +52,11 @@ class Scratch:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver found it (once a session)."""
+    """Let Python workers import this package wherever the driver found it (once a session), and keep the batches of texts
+    that they get small."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     if getattr(sc, "_loomline_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
@@ -61,6 +68,22 @@ def ship_package(spark: SparkSession) -> None:
     sc._loomline_shipped = True
 
 
+def lean(run):
+    """A function of Arrow batches whose worker gives its memory back when a task ends: workers live on from one stage to
+    the next, and what their allocators keep would add up."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows from which no classifier learns: crc32 of the id's text is a multiple of 5 (a null id counts as held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.bpe import encoder
+from loomline.llm.shared import lean
 
 SCHEMA = "doc_id long, ids array<int>, part int, part_start long"
 
@@ -50,7 +51,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe_bytes:
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*keys).sortWithinPartitions(*keys)
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(index_rows), "orc.stripe.size": str(stripe_bytes)}
-    dealt.mapInArrow(run, SCHEMA).write.options(**options).orc(path)
+    dealt.mapInArrow(lean(run), SCHEMA).write.options(**options).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -77,4 +78,4 @@ def digest(rows: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[b - k : b].tobytes()) for b, k in zip(ends, n, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.select("doc_id", "start", "ids").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

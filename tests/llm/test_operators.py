@@ -186,32 +186,45 @@ def test_op8_recall_at_the_threshold(spark):
     assert found.where("component_id = doc_id - doc_id % 2").count() == 2 * pairs
 
 
-def test_op8_neighbours_have_the_longest_prefixes():
+def forest_rows(keys, sizes=None, bits=0):
     import pyarrow as pa
 
+    n = len(keys)
+    return pa.RecordBatch.from_arrays([pa.array([0] * n), pa.array(range(n)), pa.array(sizes or [50] * n), pa.array([bits] * n), pa.array([0] * n), pa.array([np.array(k, ">u4").tobytes() for k in keys])], ["tree", "node", "n", "bits_1", "bits_2", "key"])
+
+
+@pytest.mark.parametrize("step", [1, 3, 12])
+def test_op8_neighbours_have_the_longest_prefixes(step):
     keys = sorted([0] * 5 + [i % 2, i % 3, i] for i in range(12))
-    batch = pa.RecordBatch.from_arrays([pa.array([0] * 12), pa.array(range(12)), pa.array([np.array(k, ">u4").tobytes() for k in keys])], ["tree", "node", "key"])
-    got = [r for b in lsh_forest._neighbours([batch]) for r in b.to_pylist()]
+    batch = forest_rows(keys)
+    got = [r for b in lsh_forest._forest_pairs(80, 24)([batch.slice(i, step) for i in range(0, 12, step)]) for r in b.to_pylist() if r["near"]]
     prefix = lambda a, b: next((d for d, (x, y) in enumerate(zip(keys[a], keys[b])) if x != y), 8)
-    assert all(r["common"] == prefix(r["x"], r["y"]) for r in got)
+    assert all(r["common"] == prefix(r["x"], r["y"]) for r in got) and len(got) == len({(r["x"], r["y"]) for r in got})
     assert all(max(r["common"] for r in got if r["x"] == x) == max(prefix(x, y) for y in range(x)) for x in range(1, 12))
-
-
-def test_op8_sparse_prefixes_find_pairs_that_share_no_region(spark):
-    trees = lsh_forest.trees_for(80)
-    sig = np.random.default_rng(1).integers(0, 1 << 32, (20, trees * lsh_forest.DEPTH), dtype=np.uint32)
-    sig[1] = sig[0]
-    sig[1, lsh_forest.LEAST_DEPTH - 1 :: lsh_forest.DEPTH] ^= 2  # each tree agrees in 4 values
-    sig[3, :3] = sig[2, :3]  # a chance, not a copy
-    sig[4:, :3] = sig[4, :3]  # a dense prefix of 3; one pair in it agrees in 4 values and is alike
-    sig[6] = sig[5]
-    sig[6, lsh_forest.LEAST_DEPTH - 1 :: lsh_forest.DEPTH] ^= 2
-    sig[6, lsh_forest.DEPTH :: lsh_forest.DEPTH] ^= 2  # and only in the first tree
-    bits = lsh_forest.sketches(sig)
-    rows = [(i, bytearray(s.astype(">u4").tobytes()), int(b[0]), int(b[1]), 50) for i, (s, b) in enumerate(zip(sig, bits, strict=True))]
-    classes = spark.createDataFrame(rows, "node long, sig binary, bits_1 long, bits_2 long, n long")
-    keys = F.array(*(F.struct(F.lit(t).alias("tree"), F.substring("sig", 32 * t + 1, 32).alias("key")) for t in range(trees)))
-    assert {tuple(r) for r in lsh_forest._shallow_pairs(Scratch(spark, "t"), classes, keys, 80, trees).collect()} == {(1, 0), (6, 5)}
+    assert {r["y"] for r in got if r["x"] == 11} == {0, 8, 9, 10}
+
+
+@pytest.mark.parametrize("step", [1, 4, 100])
+def test_op8_depth_adapts_to_the_prefix(step):
+    few, dense = [[1, 1, 1, 9 * i, i, 0, 0, 0] for i in range(8)], [[2, 2, 2, i // 2, i, 0, 0, 0] for i in range(20)]
+    batch = forest_rows(few + dense)
+    got = {(r["x"], r["y"]) for b in lsh_forest._forest_pairs(80, 24)([batch.slice(i, step) for i in range(0, 28, step)]) for r in b.to_pylist() if r["sparse"]}
+    assert got == {(x, y) for x in range(8) for y in range(x)} | {(8 + 2 * i + 1, 8 + 2 * i) for i in range(10)}
+    far = forest_rows(few, sizes=[50, 10] * 4)
+    assert all((r["x"] - r["y"]) % 2 == 0 for b in lsh_forest._forest_pairs(80, 24)([far]) for r in b.to_pylist())
+
+
+def test_op8_blocks_and_hot_pivots_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "REGION", 8)
+    monkeypatch.setattr(lsh_forest, "PIVOTS", 0)
+    base = " ".join(f"w{i}" for i in range(200))
+    made = [(k, base.replace(f"w{3 * k} ", "z ").replace(f"w{2 * k + 1} ", "y ")) for k in range(60)] + [(100 + k, base.replace(f"w{k} ", f"q{k} ").replace(f"w{k + 40} ", f"q{k} ").replace(f"w{k + 80} ", f"q{k} ").replace(f"w{k + 99} ", f"q{k} ")) for k in range(60)]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in lsh_forest.near_duplicates(spark, spark.createDataFrame(made, "doc_id long, text string"), 5, 85).collect()}
+    assert got == brute_components(made, 5, 85)
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 3_001)], "a long, b long")
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(3_001)], "doc_id long, text string")
+    joined = lsh_forest._with_text(lsh_forest._with_text(pairs, pairs, texts, "b", "a"), pairs, texts, "a", "b")
+    assert sorted(tuple(r) for r in joined.select("a", "text_a", "b", "text_b").collect()) == [(i, f"t{i}", 0, "t0") for i in range(1, 3_001)]
 
 
 def test_op8_null_and_repeated_ids(spark):
