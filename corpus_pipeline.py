@@ -46,9 +46,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences, by checksum."""
+    """The pieces of training sequences, with their token ids."""
     ship_package(spark)
-    return packing.digest(packing.pieces(docs, tokenizer_path(BPE_FILE), end_id=0))
+    return packing.pieces(docs, tokenizer_path(BPE_FILE), end_id=0)
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("pack", pack)]
