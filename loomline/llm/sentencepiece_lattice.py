@@ -1,31 +1,47 @@
-"""SentencePiece encoding and decoding as joins.
-
-Encoding: texts become runs (spaces are U+2581, one stands before the text; a run is spaces and what follows them, and no
-piece reaches over its end). The distinct runs of the corpus are cut into all substrings of bounded length, joined to the
-table of pieces, and grouped again by run: the lattice. A fold over each lattice gives its segmentation:
-
-- unigram models: Viterbi, the path with the highest sum of scores (Spark's `aggregate` over the end positions);
-- BPE models: the fold joins, step by step, the two neighbouring parts that make the best-scored piece (leftmost of equals).
-  Their scores are ranks of merges, for which the best sum is not the library's result.
-
-Characters that no piece covers become byte pieces. The runs of the documents then take their ids from this dictionary;
-runs with more than 1/HOT_SHARE of all occurrences (so HOT_SHARE of them at most) by broadcast, the others by shuffle.
-
-Decoding looks ids up in an array of the pieces' bytes, without a shuffle. Models must have the identity normalizer, a
-space before the text and no removal of spaces. Defined results: null and empty texts have no ids and decode to an empty
-text; repeated rows are documents of their own; an empty table gives no rows; extra columns are left out. U+2581 itself
-decodes to a space, as in the library.
+"""SentencePiece encoding and decoding over a relational lattice.
+
+Texts become runs (spaces are U+2581, one stands before the text; a run is spaces and what follows them, and no piece
+reaches over its end). Texts are dealt into buckets of about BUCKET_CHARS once, and all else happens where they lie:
+
+1. the distinct runs of a bucket are exploded into all substrings of bounded length, these are equi-joined to the table of
+   pieces (of a fixed size, so broadcast), and the edges are grouped by run: the lattice;
+2. a fold over each lattice (Spark's `aggregate`) gives its segmentation. Unigram models: Viterbi, the path with the highest
+   sum of scores. BPE models, whose scores are ranks of merges and for which the best sum isn't the library's result: the
+   edges in order of rank (leftmost of equals), each of which joins two neighbouring parts if it spans exactly these. The
+   boundaries are bits of a long, so a step costs the same at every length. One pass in this order equals the library's
+   repeated choice of the best pair, because a piece's own merges never have a worse rank than the piece (checked for each
+   model when it is read);
+3. texts meet the runs of their bucket, and take their ids from them.
+
+A run of more than LONG characters (a web address, base64, a script without spaces) doesn't fit into the bits; the worker
+folds it where texts meet runs, BPE by a heap of neighbouring pairs and unigram by Viterbi over bounded lengths, in about
+linear time, with the same result as the fold.
+
+Characters that no piece covers become byte pieces. Decoding looks up the pieces' bytes. Models must have the identity
+normalizer, a space before the text and no removal of spaces. Defined results: null and empty texts have no ids and decode
+to an empty text; repeated rows are documents of their own; an empty table gives no rows; extra columns are left out.
+U+2581 itself decodes to a space, as in the library.
 """
 
 from __future__ import annotations
 
-import json
+import heapq
+import re
+import zlib
+from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HOT_SHARE = 10_000
+from loomline.llm.shared import lean
+
+BUCKET_CHARS = 16_000_000
+LONG = 60
 _RUN = "▁+[^▁]*"
+_RUNS = re.compile(_RUN)
 
 
 class PieceTable:
@@ -39,14 +55,77 @@ class PieceTable:
         plain = [i for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
         self.kind = kind
         self.longest = max(len(p.id_to_piece(i)) for i in plain)
-        self.rows = spark.createDataFrame([(p.id_to_piece(i), i, float(p.get_score(i))) for i in plain], "piece string, id int, score double")
+        self.piece = {p.id_to_piece(i): (-float(p.get_score(i)), i) for i in plain}
         self.first_byte = p.piece_to_id("<0x00>")
-        self.hex = [f"{i - self.first_byte:02X}" if p.is_byte(i) else "" if p.is_control(i) else p.id_to_piece(i).replace("▁", " ").encode().hex() for i in range(n)]
-        self.little = [i.to_bytes(4, "little").hex() for i in range(n)]
-
-    def array(self, values: list[str]) -> str:
-        """A literal array, by id."""
-        return "from_json('" + json.dumps(values) + "', 'array<string>')"
+        self.raw = [bytes([i - self.first_byte]) if p.is_byte(i) else b"" if p.is_control(i) else p.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
+        if kind == "bpe" and not all(self.ordered(x) for x in self.piece):
+            raise ValueError("a piece of this model has a better rank than one of its own merges")
+        self.rows = spark.createDataFrame([(x, i, cost, len(x)) for x, (cost, i) in self.piece.items() if len(x) <= LONG], "piece string, id int, cost double, n int")
+
+    def __getstate__(self):  # what workers need
+        return {k: v for k, v in self.__dict__.items() if k != "rows"}
+
+    def ordered(self, piece: str) -> bool:
+        """Whether the merges that make the piece alone have ranks up to its own; or whether it is never made."""
+        ranks: list[float] = []
+        return len(self.fold(piece, ranks)) > 1 or not ranks or ranks == sorted(ranks)
+
+    def fold(self, run: str, ranks: list[float] | None = None) -> list[str]:
+        """Parts of a run of any length, by a heap of neighbouring pairs (the best rank, then the leftmost)."""
+        piece, n = self.piece, len(run)
+        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(a: int) -> None:
+            if a >= 0 and end[a] < n:
+                b = end[end[a]]
+                if b - a <= self.longest and (found := piece.get(run[a:b])):
+                    heapq.heappush(heap, (found[0], a, b))
+
+        for a in range(n):
+            offer(a)
+        alive = [True] * n
+        while heap:
+            cost, a, b = heapq.heappop(heap)
+            if not alive[a] or end[a] >= b or end[end[a]] != b:
+                continue
+            if ranks is not None:
+                ranks.append(cost)
+            alive[end[a]] = False
+            end[a] = after[a] = b
+            if b < n:
+                before[b] = a
+            offer(a)
+            offer(before[a])
+        parts, a = [], 0
+        while a < n:
+            parts.append(run[a : end[a]])
+            a = end[a]
+        return parts
+
+    def viterbi(self, run: str) -> list[str]:
+        """Parts of the path with the least cost; a character without a piece costs more than any path of pieces."""
+        cost, start = [0.0], [0]
+        for k in range(1, len(run) + 1):
+            ways = [(cost[j] + self.piece[run[j:k]][0], j) for j in range(max(0, k - self.longest), k) if run[j:k] in self.piece]
+            best = min([*ways, (cost[k - 1] + 1e9, k - 1)])
+            cost.append(best[0])
+            start.append(best[1])
+        parts, k = [], len(run)
+        while k:
+            parts.append(run[start[k] : k])
+            k = start[k]
+        return parts[::-1]
+
+    def long_ids(self, run: str) -> bytes:
+        """Ids of a run, as little-endian 32-bit integers."""
+        ids: list[int] = []
+        for x in self.fold(run) if self.kind == "bpe" else self.viterbi(run):
+            ids += [self.piece[x][1]] if x in self.piece else [self.first_byte + b for b in x.encode()]
+        return array("i", ids).tobytes()
+
+    def text(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
 
 
 def runs_of(text: str) -> Column:
@@ -54,66 +133,92 @@ def runs_of(text: str) -> Column:
     return F.when(F.length(text) > 0, F.regexp_extract_all(whole, F.lit(_RUN), F.lit(0)))
 
 
-def lattice(runs: DataFrame, table: PieceTable) -> DataFrame:
-    """(run, edges): edges (score, start, size, id) of each distinct run. Nothing is shuffled if runs are dealt by run."""
-    at = runs.select("run", F.explode(F.expr("sequence(1, length(run))")).alias("s"))
-    cut = at.select("run", "s", F.explode(F.expr(f"sequence(1, least({table.longest}, length(run) - s + 1))")).alias("n")).withColumn("piece", F.expr("substring(run, s, n)"))
-    edges = cut.join(F.broadcast(table.rows), "piece")  # the table of pieces has a fixed size
-    return edges.groupBy("run").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("cost"), F.col("s").alias("s"), F.col("n").alias("n"), F.col("id").alias("id")))).alias("edges"))
+def lattice(runs: DataFrame, table: PieceTable, *keys: str) -> DataFrame:
+    """(keys, run, edges) of distinct runs: edges (cost, s, n, id, top, full) by cost, then place; s counts from 0, and top
+    and full are the bits of an edge's end and of its whole. Nothing is shuffled if runs are dealt by the keys."""
+    at = runs.select(*keys, "run", F.explode(F.expr("sequence(0, length(run) - 1)")).alias("s"))
+    cut = at.select(*keys, "run", "s", F.explode(F.expr(f"sequence(1, least({table.longest}, length(run) - s))")).alias("k")).withColumn("piece", F.expr("substring(run, s + 1, k)"))
+    edges = cut.join(F.broadcast(table.rows), "piece", "left").where("id IS NOT NULL OR k = 1")  # each run stays, even without a piece
+    edge = F.expr("struct(coalesce(cost, 1e9D) AS cost, s, k AS n, coalesce(id, -1) AS id, shiftleft(1L, k) AS top, shiftleft(1L, k + 1) - 1 AS full)")
+    return edges.groupBy(*keys, "run").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def _bpe_cuts() -> str:
-    """Cuts of a run, after joining neighbours by the best edge until none applies. Edges are sorted by cost, then place."""
-    fits = "array_position(c, e.s) > 0 AND try_element_at(c, CAST(array_position(c, e.s) + 2 AS INT)) = e.s + e.n"
-    step = f"transform(slice(filter(wide, e -> {fits}), 1, 1), e -> array_remove(c, element_at(c, CAST(array_position(c, e.s) + 1 AS INT))))"
-    return f"aggregate(sequence(1, length(run)), sequence(1, length(run) + 1), (c, k) -> coalesce(try_element_at({step}, 1), c))"
+#: Boundaries of a run's parts, as bits from 0 to its length.
+_SEEN = "(shiftright(m, e.s) & e.full)"
+_BPE_MASK = f"""aggregate(filter(edges, e -> e.n > 1), shiftleft(1L, length(run) + 1) - 1,
+    (m, e) -> CASE WHEN bit_count({_SEEN}) = 3 AND {_SEEN} > e.top AND {_SEEN} % 2 = 1 THEN m - shiftleft({_SEEN} - 1 - e.top, e.s) ELSE m END)"""
 
 
-def _viterbi_cuts() -> str:
-    """Cuts of the path with the least cost; a character without a piece costs more than any path of pieces."""
-    into = "filter(edges, e -> e.s + e.n = k + 1)"
-    ways = f"transform(concat({into}, array(struct(CAST(1e9 AS DOUBLE) AS cost, k AS s, 1 AS n, -1 AS id))), e -> struct(best[e.s - 1].cost + e.cost AS cost, e.s AS s))"
+def _viterbi_mask() -> str:
+    ways = "transform(filter(edges, e -> e.s + e.n = k), e -> struct(best[e.s].cost + e.cost AS cost, e.s AS s))"
     start = "array(struct(CAST(0.0 AS DOUBLE) AS cost, 0 AS s))"
     best = f"aggregate(sequence(1, length(run)), {start}, (best, k) -> concat(best, array(array_min({ways}))))"
     # best[k].s: where the last piece of the best path to k begins; followed back from the end
-    return f"transform(array({best}), b -> aggregate(sequence(1, length(run)), array(length(run) + 1), (c, k) -> CASE WHEN c[0] = 1 THEN c ELSE concat(array(b[c[0] - 1].s), c) END))[0]"
-
-
-def dictionary(runs: DataFrame, table: PieceTable) -> DataFrame:
-    """(run, ids) of distinct runs."""
-    grid = runs.join(lattice(runs, table), "run", "left")
-    none = "CAST(array() AS ARRAY<STRUCT<cost: DOUBLE, s: INT, n: INT, id: INT>>)"
-    grid = grid.withColumn("edges", F.coalesce("edges", F.expr(none))).withColumn("wide", F.expr("filter(edges, e -> e.n > 1)"))
-    cut = grid.withColumn("cuts", F.expr(_bpe_cuts() if table.kind == "bpe" else _viterbi_cuts()))
-    as_bytes = f"transform(filter(split(hex(encode(substring(run, cuts[j], 1), 'UTF-8')), '(?<=\\\\G..)'), x -> x <> ''), x -> CAST(conv(x, 16, 10) AS INT) + {table.first_byte})"
-    piece = "try_element_at(transform(filter(edges, e -> e.s = cuts[j] AND e.n = cuts[j + 1] - cuts[j]), e -> array(e.id)), 1)"
-    part = f"coalesce({piece}, {as_bytes})"
-    return cut.select("run", F.expr(f"flatten(transform(sequence(0, size(cuts) - 2), j -> {part}))").alias("ids"))
-
-
-def encode(docs: DataFrame, table: PieceTable) -> DataFrame:
-    """(doc_id, text, ids) of whole texts."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    placed = rows.select("row", F.posexplode(runs_of("text")).alias("pos", "run"))
-    counted = placed.groupBy("run").agg(F.count("*").alias("n"))
-    words = dictionary(counted.select("run"), table)
-    least = docs.select(F.sum(F.length("text")).alias("n")).first().n or 0
-    hot = counted.where(F.col("n") * HOT_SHARE > least).select(F.col("run"))  # characters are no fewer than runs, so HOT_SHARE rows at most
-    common = dictionary(hot, table).withColumnRenamed("ids", "common")
-    known = placed.join(F.broadcast(common), "run", "left")
-    parts = known.where("common IS NOT NULL").select("row", "pos", F.col("common").alias("ids")).unionByName(known.where("common IS NULL").select("row", "pos", "run").join(words, "run").select("row", "pos", "ids"))
-    whole = parts.groupBy("row").agg(F.expr("flatten(transform(array_sort(collect_list(struct(pos, ids))), x -> x.ids))").alias("ids"))
-    return rows.join(whole, "row", "left").select("doc_id", "text", F.coalesce("ids", F.expr("CAST(array() AS ARRAY<INT>)")).alias("ids"))
+    back = "aggregate(sequence(1, length(run)), struct(length(run) AS at, shiftleft(1L, length(run)) AS m), (c, k) -> CASE WHEN c.at = 0 THEN c ELSE struct(b[c.at].s AS at, c.m | shiftleft(1L, b[c.at].s) AS m) END).m"
+    return f"transform(array({best}), b -> {back})[0]"
+
+
+def dictionary(runs: DataFrame, table: PieceTable, *keys: str) -> DataFrame:
+    """(keys, run, ids) of distinct runs of at most LONG characters."""
+    mask = _BPE_MASK if table.kind == "bpe" else _viterbi_mask()
+    as_bytes = f"transform(filter(split(hex(encode(substring(run, e.s + 1, 1), 'UTF-8')), '(?<=\\\\G..)'), x -> x <> ''), x -> CAST(conv(x, 16, 10) AS INT) + {table.first_byte})"
+    parts = f"array_sort(filter(edges, e -> {_SEEN} = e.top + 1), (a, b) -> a.s - b.s)"
+    ids = f"transform(array({mask}), m -> {parts})[0]"
+    whole = f"transform(array({ids}), p -> CASE WHEN exists(p, e -> e.id < 0) THEN flatten(transform(p, e -> CASE WHEN e.id < 0 THEN {as_bytes} ELSE array(e.id) END)) ELSE transform(p, e -> e.id) END)[0]"
+    return lattice(runs.where(f"length(run) BETWEEN 1 AND {LONG}"), table, *keys).select(*keys, "run", F.expr(whole).alias("ids"))
+
+
+def encode(docs: DataFrame, table: PieceTable, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+    """(doc_id, text, ids) of whole texts. A copy of a text goes to any bucket, so copies don't meet in one."""
+    n = 1 + (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // bucket_chars
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int").alias("bucket"))
+    dealt = rows.repartitionById(n, F.col("bucket"))
+    # the least id is carried along so that both sides read the same columns, and so the same shuffle
+    runs = dealt.select("bucket", "doc_id", F.explode_outer(runs_of("text")).alias("run")).groupBy("bucket", "run").agg(F.min("doc_id").alias("least"))
+    words = dictionary(runs, table, "bucket", "least").withColumnRenamed("bucket", "of")
+    held = docs.sparkSession.sparkContext.broadcast(table)
+
+    def meet(texts: pa.Table, found: pa.Table) -> pa.Table:
+        own, known = held.value, {}
+        ids = found.column("ids").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
+        flat, ends = pc.list_flatten(ids).to_numpy(zero_copy_only=False).astype("<i4").tobytes(), np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)) * 4
+        at = 0
+        for run, end in zip(found.column("run").to_pylist(), ends.tolist(), strict=True):
+            known[run] = flat[at:end]
+            at = end
+        out = []
+        for text in texts.column("text"):
+            cut = _RUNS.findall("▁" + text.as_py().replace(" ", "▁")) if text.is_valid and len(text.as_py()) else []
+            try:
+                out.append(b"".join(map(known.__getitem__, cut)))
+            except KeyError:
+                out.append(b"".join([known[r] if r in known else own.long_ids(r) for r in cut]))
+        offsets = np.concatenate(([0], np.cumsum([len(b) // 4 for b in out]))).astype(np.int32)
+        made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
+        return pa.table({"doc_id": texts.column("doc_id"), "text": texts.column("text"), "ids": made})
+
+    return dealt.groupBy("bucket").cogroup(words.groupBy("of")).applyInArrow(meet, "doc_id long, text string, ids array<int>")
 
 
 def decode(encoded: DataFrame, table: PieceTable, text_col: str = "decoded") -> DataFrame:
-    """encoded with the text of its ids; bytes that are no UTF-8 become U+FFFD."""
-    joined = F.expr(f"decode(unhex(array_join(transform(ids, i -> element_at({table.array(table.hex)}, i + 1)), '')), 'UTF-8')")
-    return encoded.withColumn(text_col, F.regexp_replace(joined, r"\A ", ""))
+    """(doc_id, text, ids) with the text of the ids; bytes that are no UTF-8 become U+FFFD."""
+    held = encoded.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            made = [held.value.text(x.values.to_numpy(zero_copy_only=False)) for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, text_col])
+
+    return encoded.select("doc_id", "text", "ids").mapInArrow(lean(run), f"doc_id long, text string, ids array<int>, {text_col} string")
 
 
 def digest(encoded: DataFrame, table: PieceTable) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, round_trip)."""
-    crc = F.expr(f"crc32(unhex(array_join(transform(ids, i -> element_at({table.array(table.little)}, i + 1)), '')))")
-    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
-    return decode(encoded, table).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), crc.alias("ids_crc32"), same.alias("round_trip"))
+
+    def run(batches):
+        for batch in batches:
+            ids = [x.values.to_numpy(zero_copy_only=False).astype("<u4") for x in batch.column("ids")]
+            same = [(t or "").replace("▁", " ") == d for t, d in zip(batch.column("text").to_pylist(), batch.column("decoded").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
+
+    return decode(encoded, table).mapInArrow(lean(run), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")

@@ -76,35 +76,61 @@ def test_op2_round_trip(spark, odd, none, docs):
     assert token_orc.starts(token_orc.read(spark, path)).count() == 0
 
 
-def test_op3_equals_library(spark, none):
+def test_op3_equals_library(spark, none, odd, docs):
     from sentencepiece import SentencePieceProcessor
 
     path = queries.tokenizer_path(queries.PIECE_FILE)
     p, table = SentencePieceProcessor(model_file=path), sentencepiece_lattice.PieceTable(spark, path)
-    texts = [None, "", " a  b\n\tc ", "Ⅳ é 日本 x", "the internationalization of representation", "a▁b", "Onehen theaouing | er $$$"]
+    rng = np.random.default_rng(3)
+    long = ["".join(rng.choice(list(a), 3_000)) for a in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "the intrso", "日本語の文章é")]
+    short = [" ".join("".join(rng.choice(list("abcdeé日in\n"), rng.integers(1, 60))) for _ in range(300)), "=" * 61, "=" * 59, "x" * 60 + " " + "ab" * 200]
+    texts = [None, "", " a  b\n\tc ", "Ⅳ é 日本 x", "the internationalization of representation", "a▁b", "Onehen theaouing | er $$$", "x", "x", *long, *short]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode(df, table), table).collect()}
-    for i, t in enumerate(texts):
-        assert list(got[i].ids) == p.encode(t or ""), t
-        assert got[i].decoded == p.decode(p.encode(t or ""))
+    for rows, chars in ((df, 1 << 24), (df, 2_000), (docs, 200_000), (odd, 100)):
+        got = sentencepiece_lattice.decode(sentencepiece_lattice.encode(rows, table, chars), table).collect()
+        assert len(got) == rows.count()
+        for r in got:
+            assert list(r.ids) == p.encode(r.text or ""), r.text
+            assert r.decoded == p.decode(p.encode(r.text or ""))
     assert sentencepiece_lattice.encode(none, table).count() == 0
+    digest = {r.doc_id: r for r in sentencepiece_lattice.digest(sentencepiece_lattice.encode(df, table), table).collect()}
+    assert all(r.ids_crc32 == zlib.crc32(np.array(p.encode(texts[i] or ""), "<u4").tobytes()) and r.round_trip for i, r in digest.items())
 
 
-def test_op3_viterbi_equals_brute_force(spark):
+def test_op3_long_runs_are_quick(spark):
+    import time
+
+    table = sentencepiece_lattice.PieceTable(spark, queries.tokenizer_path(queries.PIECE_FILE))
+    run = "▁" + "".join(np.random.default_rng(4).choice(list("abcdefghijklmnopqrstuvwxyz"), 100_000))
+    began = time.perf_counter()
+    assert "".join(table.fold(run)) == run and "".join(table.viterbi(run)) == run
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+def test_op3_fold_equals_brute_force(spark, kind):
     table = sentencepiece_lattice.PieceTable(spark, queries.tokenizer_path(queries.PIECE_FILE))
-    table.kind = "unigram"
-    score = {r.piece: (r.score, r.id) for r in table.rows.collect()}
+    table.kind = kind
 
-    def best(run):
-        ways = [(0.0, [])]
-        for k in range(1, len(run) + 1):
-            ways.append(max((ways[j][0] + score[run[j:k]][0], ways[j][1] + [score[run[j:k]][1]]) for j in range(max(0, k - table.longest), k) if run[j:k] in score))
-        return ways[-1]
+    def merged(run):
+        parts = list(run)
+        while ways := [(table.piece[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in table.piece]:
+            i = min(ways)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
 
-    runs = ["▁the", "▁internationalization", "▁abc", "▁a"]
-    value = {i: s for s, i in score.values()}
+    runs = ["▁the", "▁internationalization", "▁abc", "▁a", "▁" + "aab" * 19, "▁naïve日"]
+    value = {i: cost for cost, i in table.piece.values()}
     for r in sentencepiece_lattice.dictionary(spark.createDataFrame([(x,) for x in runs], "run string").distinct(), table).collect():
-        assert sum(value[i] for i in r.ids) == pytest.approx(best(r.run)[0])
+        if kind == "bpe":
+            want = [j for x in merged(r.run) for j in ([table.piece[x][1]] if x in table.piece else [table.first_byte + b for b in x.encode()])]
+            assert list(r.ids) == want and list(np.frombuffer(table.long_ids(r.run), "<i4")) == want
+        else:
+            assert sum(value.get(i, 0) for i in r.ids) == pytest.approx(sum(table.piece[x][0] for x in table.viterbi(r.run) if x in table.piece))
+            ways = [0.0]
+            for k in range(1, len(r.run) + 1):
+                ways.append(min([ways[k - 1] + 1e9] + [ways[j] + table.piece[r.run[j:k]][0] for j in range(k) if r.run[j:k] in table.piece]))
+            assert ways[-1] % 1e9 == pytest.approx(sum(value.get(i, 0) for i in r.ids))
 
 
 def test_op4_odd(spark, odd, none):
