@@ -1,19 +1,23 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
 Vectors become integers, are dealt into blocks of BLOCK candidates, and meet blocks of queries (blocks times blocks, each
-in a task of its own). The dimensions are dealt into LISTS groups; for a query, each group gives a list of the candidates
-by their partial product, best first. The lists are read in step, a stretch of each at a time. A candidate that has been
-seen has a lower bound (its partial products read so far, plus the least of the lists in which it is still unread) and an
-upper bound (plus the value at which those lists stand). Reading stops when the k-th best lower bound is over what an unseen
-candidate can reach, the sum of the values at which the lists stand; seen candidates with an upper bound under it are given
-up, and the scores of the others are resolved. Each block gives k rows a query, and the k best of all blocks are ranked.
-One list for each dimension is the same with LISTS = the dimensions; with 64 lists nearly all entries are read before any
-candidate can be given up, hence a few groups.
+in a task of its own). A block has a list for each dimension, sorted once for all queries: candidates by that component. A
+query reads each list from its better end (the high one where its own component is positive), a stretch of all lists at a
+time, each stretch as deep as all before it together. What has been read of a candidate gives its bounds: the sum of its
+components read, plus, for each list in which it is still unread, the worst value of that list (lower bound) or the value at
+which the list stands (upper bound). Sums are made from the entries read alone, for many queries at once. Reading stops when
+the k-th best lower bound is over what an outsider can reach, the sum of the values at which all lists stand; seen candidates
+with an upper bound under it are given up, and the scores of the others are resolved from their vectors. Each block gives k
+rows a query, and the k best of all blocks are ranked.
+
+Integers are exact: bounds and scores are computed in float64 where no sum can exceed 2**53, in 64-bit integers up to 2**63,
+and larger ones raise an error.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor does an empty vector;
 vectors with the same vec_id as the query are its own; equal rows (same id, same vector) are counted before the shuffle and
-come back as often as they are there; repeated query rows are one query; vectors of another length than the query's are no
-candidates; extra columns are left out.
+come back as often as they are there; repeated query rows are one query, and different vectors under one query id are
+different queries whose results are ranked together; vectors of another length than the query's are no candidates; extra
+columns are left out.
 """
 
 from __future__ import annotations
@@ -24,10 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 256
-LISTS = 2
 #: Entries read of each list before the bounds are first looked at; doubled each time.
-STRETCH = 64
+STRETCH = 128
 BLOCK = 8_192
+#: Queries that read the lists of a block together.
+TOGETHER = 128
 QUERY_BLOCK = 2_048
 RESULT = "query_id long, vec_id long, score long, n long"
 
@@ -39,42 +44,65 @@ def quantized(embeddings: DataFrame) -> DataFrame:
     return usable.select("vec_id", whole.alias("q")).groupBy("vec_id", "q").agg(F.count("*").alias("n"))
 
 
-def block_top(candidates: np.ndarray, ids: np.ndarray, counts: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, lists: int = LISTS):
-    """(query_id, vec_id, score, n) of each query's k best candidates of a block, by reading sorted lists."""
-    n = len(candidates)
-    groups = np.array_split(np.arange(candidates.shape[1]), min(lists, candidates.shape[1]))
-    x = [candidates[:, g].astype(np.float64) for g in groups]  # integers far below 2**53: sums are exact
-    for at in range(0, len(queries), 64):
-        partial = [v @ queries[at : at + 64, g].T.astype(np.float64) for v, g in zip(x, groups, strict=True)]
-        for i, query_id in enumerate(query_ids[at : at + 64]):
-            p = [np.ascontiguousarray(v[:, i]) for v in partial]
-            for one in _read(p, np.flatnonzero(ids == query_id), ids, k):
-                yield query_id, ids[one], int(sum(v[one] for v in p)), counts[one]
-
-
-def _read(p: list[np.ndarray], own: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best candidates, by the partial products of each list."""
-    n, depth = len(ids), STRETCH
-    least = [v.min() for v in p]
-    while True:
-        depth = min(depth, n)
-        read = [np.argpartition(v, n - depth)[n - depth :] for v in p]
-        stand = [v[r].min() for v, r in zip(p, read, strict=True)]
-        seen = np.unique(np.concatenate(read))
-        seen = seen[~np.isin(seen, own)] if len(own) else seen
-        lower, upper = np.zeros(len(seen)), np.zeros(len(seen))
-        for v, s, w in zip(p, stand, least, strict=True):
-            value = v[seen]
-            is_read = value >= s
-            lower += np.where(is_read, value, w)
-            upper += np.where(is_read, value, s)
-        if len(seen) >= k or depth == n:
-            floor = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf
-            if depth == n or sum(stand) < floor:
-                left = seen[upper >= floor]
-                score = sum(v[left] for v in p)
-                return left[np.lexsort((ids[left], -score))[:k]]
-        depth *= 2
+class SortedLists:
+    """The lists of a block: for each dimension, the places of the candidates by that component, ascending."""
+
+    def __init__(self, candidates: np.ndarray, kind: type):
+        self.order = np.argsort(candidates, axis=0, kind="stable")
+        self.values = np.take_along_axis(candidates, self.order, axis=0).astype(kind)
+        self.n, self.width = candidates.shape
+
+    def read(self, depth: int, high: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the entries at one end of all lists, down to a depth: which they are, their values, and where the lists stand."""
+        rows = slice(self.n - depth, self.n) if high else slice(0, depth)
+        at, dim = self.order[rows], np.arange(self.width)
+        seen, value = np.zeros((self.n, self.width), self.values.dtype), np.zeros((self.n, self.width), self.values.dtype)
+        seen[at, dim], value[at, dim] = 1, self.values[rows]
+        return seen, value, self.values[self.n - depth if high else depth - 1]
+
+
+def exact_kind(candidates: np.ndarray, queries: np.ndarray) -> type:
+    """The type in which no sum of products, in any order, is inexact."""
+    most = max((abs(int(x)) for x in (candidates.max(), candidates.min())), default=0) * max(abs(int(x)) for x in (queries.max(), queries.min())) * candidates.shape[1]
+    if most >= 2**63:
+        raise ArithmeticError("inner products may exceed 64 bits")
+    return np.float64 if most < 2**53 else np.int64
+
+
+def block_top(candidates: np.ndarray, ids: np.ndarray, counts: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, entries: list[int] | None = None):
+    """(query_id, vec_id, score, n) of each query's k best candidates of a block. entries gets the number of entries read."""
+    kind = exact_kind(candidates, queries)
+    lists, n = SortedLists(candidates, kind), len(candidates)
+    worst_high, worst_low = lists.values[0], lists.values[-1]
+    for first in range(0, len(queries), TOGETHER):
+        left = np.arange(first, min(first + TOGETHER, len(queries)))
+        depth = min(STRETCH, n)
+        while len(left):
+            q = queries[left].astype(kind)
+            up, down = np.maximum(q, 0), np.minimum(q, 0)
+            (seen_up, value_up, stand_up), (seen_down, value_down, stand_down) = lists.read(depth, True), lists.read(depth, False)
+            known = value_up @ up.T + value_down @ down.T
+            # what the unread lists hold at worst and at best: that of all lists, less that of those read
+            lower = known + (up @ worst_high + down @ worst_low) - (seen_up @ (up * worst_high).T + seen_down @ (down * worst_low).T)
+            outside = up @ stand_up + down @ stand_down
+            upper = known + outside - (seen_up @ (up * stand_up).T + seen_down @ (down * stand_down).T)
+            seen = (seen_up @ (up > 0).astype(kind).T + seen_down @ (down < 0).astype(kind).T) > 0
+            on = []
+            for i, query in enumerate(left):
+                may = np.flatnonzero((seen[:, i] | (depth == n)) & (ids != query_ids[query]))
+                least = lower[may, i]
+                floor = np.partition(least, len(least) - k)[len(least) - k] if len(least) >= k else None
+                if depth < n and (floor is None or outside[i] >= floor):
+                    on.append(query)
+                    continue
+                if entries is not None:
+                    entries.append(depth * int(np.count_nonzero(queries[query])))
+                if floor is not None:
+                    may = may[upper[may, i] >= floor]
+                score = candidates[may] @ queries[query]  # resolved, in 64-bit integers
+                for at in np.lexsort((ids[may], -score))[:k]:
+                    yield query_ids[query], ids[may[at]], int(score[at]), counts[may[at]]
+            left, depth = np.array(on, int), min(2 * depth, n)
 
 
 def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:

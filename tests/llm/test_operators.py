@@ -277,6 +277,41 @@ def test_op9_odd(spark):
     assert nra_topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def brute_top(vectors, asked, k):
+    out = []
+    for query_id, q in asked:
+        best = sorted((-sum(int(a) * int(b) for a, b in zip(q, v)), i) for i, v in vectors if i != query_id)[:k]
+        out += [(query_id, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    return out
+
+
+@pytest.mark.parametrize("most", [40, 1 << 20, 1 << 27])
+def test_op9_blocks_equal_brute_force(spark, most):
+    rng = np.random.default_rng(most)
+    vectors = [(i, [float(x) for x in rng.integers(-most, most, 12)]) for i in range(700)] + [(1000 + i, [1.0] * 12) for i in range(40)]
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in vectors], "vec_id long, embedding array<double>")
+    asked = [(i, v) for i, v in vectors if i % 50 == 0]
+    got = [tuple(r) for r in nra_topk.top_k(df, df.where("vec_id % 50 = 0"), 5, block=150, query_block=7).orderBy("query_id", "rank").collect()]
+    assert got == brute_top(vectors, asked, 5)
+
+
+def test_op9_range_is_checked():
+    big = np.array([[1 << 40, 1]])
+    assert nra_topk.exact_kind(np.array([[3, -4]]), np.array([[5, 6]])) is np.float64 and nra_topk.exact_kind(big, np.array([[1 << 15, 1]])) is np.int64
+    with pytest.raises(ArithmeticError):
+        nra_topk.exact_kind(big, big)
+
+
+def test_op9_stops_early_where_few_dimensions_count():
+    rng = np.random.default_rng(1)
+    x = rng.integers(-3, 4, (4_000, 8))
+    x[:, 0] = rng.permutation(4_000) * 50
+    entries = []
+    got = list(nra_topk.block_top(x, np.arange(4_000), np.ones(4_000, int), np.array([[7, 1, -1, 0, 0, 0, 0, 0]]), np.array([-1]), 5, entries))
+    score = x @ np.array([7, 1, -1, 0, 0, 0, 0, 0])
+    assert [g[1] for g in got] == list(np.lexsort((np.arange(4_000), -score))[:5]) and entries[0] < 3 * 4_000 / 4
+
+
 @pytest.mark.parametrize("block", [2_000, 1 << 22])
 def test_op10_pieces(spark, odd, docs, block):
     e = bpe.encoder(queries.tokenizer_path(queries.BPE_FILE))
