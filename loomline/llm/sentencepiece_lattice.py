@@ -26,6 +26,7 @@ U+2581 itself decodes to a space, as in the library.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from array import array
@@ -38,8 +39,11 @@ from pyspark.sql import functions as F
 
 from loomline.llm.shared import lean
 
-BUCKET_CHARS = 16_000_000
+BUCKET_CHARS = 6_000_000
 LONG = 60
+#: An edge's id has 20 bits; none has all of them set.
+NO_ID = (1 << 20) - 1
+NO_PIECE = 1e9
 _RUN = "▁+[^▁]*"
 _RUNS = re.compile(_RUN)
 
@@ -56,11 +60,15 @@ class PieceTable:
         self.kind = kind
         self.longest = max(len(p.id_to_piece(i)) for i in plain)
         self.piece = {p.id_to_piece(i): (-float(p.get_score(i)), i) for i in plain}
+        self.cost = {i: cost for cost, i in self.piece.values()}
         self.first_byte = p.piece_to_id("<0x00>")
         self.raw = [bytes([i - self.first_byte]) if p.is_byte(i) else b"" if p.is_control(i) else p.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
+        if n >= NO_ID or self.longest > LONG:
+            raise ValueError("too many pieces, or too long ones")
         if kind == "bpe" and not all(self.ordered(x) for x in self.piece):
             raise ValueError("a piece of this model has a better rank than one of its own merges")
-        self.rows = spark.createDataFrame([(x, i, cost, len(x)) for x, (cost, i) in self.piece.items() if len(x) <= LONG], "piece string, id int, cost double, n int")
+        rank = {cost: r for r, cost in enumerate(sorted(set(self.cost.values())))}
+        self.rows = spark.createDataFrame([(x, i, rank[cost]) for x, (cost, i) in self.piece.items()], "piece string, id int, rank long")
 
     def __getstate__(self):  # what workers need
         return {k: v for k, v in self.__dict__.items() if k != "rows"}
@@ -108,7 +116,7 @@ class PieceTable:
         cost, start = [0.0], [0]
         for k in range(1, len(run) + 1):
             ways = [(cost[j] + self.piece[run[j:k]][0], j) for j in range(max(0, k - self.longest), k) if run[j:k] in self.piece]
-            best = min([*ways, (cost[k - 1] + 1e9, k - 1)])
+            best = min([*ways, (cost[k - 1] + NO_PIECE, k - 1)])
             cost.append(best[0])
             start.append(best[1])
         parts, k = [], len(run)
@@ -134,38 +142,54 @@ def runs_of(text: str) -> Column:
 
 
 def lattice(runs: DataFrame, table: PieceTable, *keys: str) -> DataFrame:
-    """(keys, run, edges) of distinct runs: edges (cost, s, n, id, top, full) by cost, then place; s counts from 0, and top
-    and full are the bits of an edge's end and of its whole. Nothing is shuffled if runs are dealt by the keys."""
+    """(keys, run, edges) of distinct runs of at most LONG characters: edges as longs of (rank, s, n, id), so by rank, then
+    place; s counts from 0. Edges of one ASCII character are left out, a short table has them. Nothing is shuffled if runs
+    are dealt by the keys."""
     at = runs.select(*keys, "run", F.explode(F.expr("sequence(0, length(run) - 1)")).alias("s"))
-    cut = at.select(*keys, "run", "s", F.explode(F.expr(f"sequence(1, least({table.longest}, length(run) - s))")).alias("k")).withColumn("piece", F.expr("substring(run, s + 1, k)"))
-    edges = cut.join(F.broadcast(table.rows), "piece", "left").where("id IS NOT NULL OR k = 1")  # each run stays, even without a piece
-    edge = F.expr("struct(coalesce(cost, 1e9D) AS cost, s, k AS n, coalesce(id, -1) AS id, shiftleft(1L, k) AS top, shiftleft(1L, k + 1) - 1 AS full)")
-    return edges.groupBy(*keys, "run").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    sizes = F.expr(f"sequence(if(ascii(substring(run, s + 1, 1)) < 128, 2, 1), least({table.longest}, length(run) - s))")
+    possible = F.expr("length(run) - s > 1 OR ascii(substring(run, s + 1, 1)) > 127")
+    cut = at.where(possible).select(*keys, "run", "s", F.explode(sizes).alias("k")).withColumn("piece", F.expr("substring(run, s + 1, k)"))
+    edges = cut.join(F.broadcast(table.rows), "piece").select(*keys, "run", F.expr("shiftleft(rank, 32) + shiftleft(CAST(s AS BIGINT), 26) + shiftleft(CAST(k AS BIGINT), 20) + id").alias("edge"))
+    return edges.groupBy(*keys, "run").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
-#: Boundaries of a run's parts, as bits from 0 to its length.
-_SEEN = "(shiftright(m, e.s) & e.full)"
-_BPE_MASK = f"""aggregate(filter(edges, e -> e.n > 1), shiftleft(1L, length(run) + 1) - 1,
-    (m, e) -> CASE WHEN bit_count({_SEEN}) = 3 AND {_SEEN} > e.top AND {_SEEN} % 2 = 1 THEN m - shiftleft({_SEEN} - 1 - e.top, e.s) ELSE m END)"""
+_S, _N, _ID = "CAST(shiftright(e, 26) & 63 AS INT)", "CAST(shiftright(e, 20) & 63 AS INT)", f"(e & {NO_ID})"
+#: Boundaries of a run's parts are the bits m, from 0 to its length. These are the bits at an edge, its last one, and how all
+#: bits of an edge look where it is one part.
+_SEEN, _TOP = f"(shiftright(m, {_S}) & (shiftleft(1L, {_N} + 1) - 1))", f"shiftleft(1L, {_N})"
+_BPE_MASK = f"""aggregate(edges, shiftleft(1L, length(run) + 1) - 1,
+    (m, e) -> CASE WHEN bit_count({_SEEN}) = 3 AND {_SEEN} > {_TOP} AND {_SEEN} % 2 = 1 THEN m - shiftleft({_SEEN} - 1 - {_TOP}, {_S}) ELSE m END)"""
 
 
-def _viterbi_mask() -> str:
-    ways = "transform(filter(edges, e -> e.s + e.n = k), e -> struct(best[e.s].cost + e.cost AS cost, e.s AS s))"
+def _literal(values: list, kind: str) -> str:
+    return "from_json('" + json.dumps(values) + f"', 'array<{kind}>')"
+
+
+def _viterbi_mask(table: PieceTable) -> str:
+    costs = _literal([table.cost.get(i, NO_PIECE) for i in range(len(table.raw))], "double")
+    single = _literal([table.piece.get(chr(i), (NO_PIECE, 0))[0] for i in range(128)], "double")
+    ways = f"transform(filter(edges, e -> {_S} + {_N} = k), e -> struct(best[{_S}].cost + element_at({costs}, CAST({_ID} AS INT) + 1) AS cost, {_S} AS s))"
+    one = f"array(struct(best[k - 1].cost + coalesce(try_element_at({single}, ascii(substring(run, k, 1)) + 1), {NO_PIECE}D) AS cost, k - 1 AS s))"
     start = "array(struct(CAST(0.0 AS DOUBLE) AS cost, 0 AS s))"
-    best = f"aggregate(sequence(1, length(run)), {start}, (best, k) -> concat(best, array(array_min({ways}))))"
+    best = f"aggregate(sequence(1, length(run)), {start}, (best, k) -> concat(best, array(array_min(concat({ways}, {one})))))"
     # best[k].s: where the last piece of the best path to k begins; followed back from the end
     back = "aggregate(sequence(1, length(run)), struct(length(run) AS at, shiftleft(1L, length(run)) AS m), (c, k) -> CASE WHEN c.at = 0 THEN c ELSE struct(b[c.at].s AS at, c.m | shiftleft(1L, b[c.at].s) AS m) END).m"
     return f"transform(array({best}), b -> {back})[0]"
 
 
 def dictionary(runs: DataFrame, table: PieceTable, *keys: str) -> DataFrame:
-    """(keys, run, ids) of distinct runs of at most LONG characters."""
-    mask = _BPE_MASK if table.kind == "bpe" else _viterbi_mask()
-    as_bytes = f"transform(filter(split(hex(encode(substring(run, e.s + 1, 1), 'UTF-8')), '(?<=\\\\G..)'), x -> x <> ''), x -> CAST(conv(x, 16, 10) AS INT) + {table.first_byte})"
-    parts = f"array_sort(filter(edges, e -> {_SEEN} = e.top + 1), (a, b) -> a.s - b.s)"
-    ids = f"transform(array({mask}), m -> {parts})[0]"
-    whole = f"transform(array({ids}), p -> CASE WHEN exists(p, e -> e.id < 0) THEN flatten(transform(p, e -> CASE WHEN e.id < 0 THEN {as_bytes} ELSE array(e.id) END)) ELSE transform(p, e -> e.id) END)[0]"
-    return lattice(runs.where(f"length(run) BETWEEN 1 AND {LONG}"), table, *keys).select(*keys, "run", F.expr(whole).alias("ids"))
+    """(keys, run, ids) of distinct runs of at most LONG characters that hold a piece of two characters or more, or one
+    beyond ASCII; other runs are so short that a worker makes them where it meets them."""
+    mask = _BPE_MASK if table.kind == "bpe" else _viterbi_mask(table)
+    single = _literal([table.piece.get(chr(i), (0, NO_ID))[1] for i in range(128)], "bigint")
+    wide = f"transform(filter(edges, e -> {_SEEN} = {_TOP} + 1), e -> shiftleft(shiftright(e, 26) & 63, 20) + {_ID})"
+    narrow = f"transform(filter(sequence(0, length(run) - 1), i -> shiftright(m, i) & 3 = 3 AND ascii(substring(run, i + 1, 1)) < 128), i -> shiftleft(CAST(i AS BIGINT), 20) + element_at({single}, ascii(substring(run, i + 1, 1)) + 1))"
+    as_bytes = f"transform(filter(split(hex(encode(substring(run, i + 1, 1), 'UTF-8')), '(?<=\\\\G..)'), x -> x <> ''), x -> CAST(conv(x, 16, 10) AS INT) + {table.first_byte})"
+    found = f"try_element_at(transform(filter(p, x -> shiftright(x, 20) = i AND x & {NO_ID} <> {NO_ID}), x -> array(CAST(x & {NO_ID} AS INT))), 1)"
+    each = f"flatten(transform(filter(sequence(0, length(run) - 1), i -> shiftright(m, i) & 1 = 1), i -> coalesce({found}, {as_bytes})))"
+    whole = f"CASE WHEN size(p) < bit_count(m) - 1 OR exists(p, x -> x & {NO_ID} = {NO_ID}) THEN {each} ELSE transform(p, x -> CAST(x & {NO_ID} AS INT)) END"
+    ids = f"transform(array({mask}), m -> transform(array(sort_array(concat({wide}, {narrow}))), p -> {whole})[0])[0]"
+    return lattice(runs.where(f"length(run) BETWEEN 1 AND {LONG}"), table, *keys).select(*keys, "run", F.expr(ids).alias("ids"))
 
 
 def encode(docs: DataFrame, table: PieceTable, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
@@ -192,7 +216,9 @@ def encode(docs: DataFrame, table: PieceTable, bucket_chars: int = BUCKET_CHARS)
             try:
                 out.append(b"".join(map(known.__getitem__, cut)))
             except KeyError:
-                out.append(b"".join([known[r] if r in known else own.long_ids(r) for r in cut]))
+                for r in set(cut).difference(known):
+                    known[r] = own.long_ids(r)
+                out.append(b"".join(map(known.__getitem__, cut)))
         offsets = np.concatenate(([0], np.cumsum([len(b) // 4 for b in out]))).astype(np.int32)
         made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
         return pa.table({"doc_id": texts.column("doc_id"), "text": texts.column("text"), "ids": made})
