@@ -31,6 +31,7 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     pieces = sentencepiece_lattice.PieceTable(spark, tokenizer_path(PIECE_FILE))
     return sentencepiece_lattice.digest(sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), pieces), pieces)
 

@@ -1,21 +1,22 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts become runs (spaces are U+2581, one stands before the text; a run is spaces and what follows them, and no piece
-reaches over its end). Texts are dealt into buckets of about BUCKET_CHARS once, and all else happens where they lie:
+reaches over its end). All runs of the corpus are counted, and up to MOST_RUNS of the most frequent ones make a dictionary:
 
-1. the distinct runs of a bucket are exploded into all substrings of bounded length, these are equi-joined to the table of
-   pieces (of a fixed size, so broadcast), and the edges are grouped by run: the lattice;
+1. they are exploded into all substrings of bounded length, these are equi-joined to the table of pieces (of a fixed size,
+   so broadcast), and the edges are grouped by run: the lattice;
 2. a fold over each lattice (Spark's `aggregate`) gives its segmentation. Unigram models: Viterbi, the path with the highest
    sum of scores. BPE models, whose scores are ranks of merges and for which the best sum isn't the library's result: the
    edges in order of rank (leftmost of equals), each of which joins two neighbouring parts if it spans exactly these. The
    boundaries are bits of a long, so a step costs the same at every length. One pass in this order equals the library's
    repeated choice of the best pair, because a piece's own merges never have a worse rank than the piece (checked for each
    model when it is read);
-3. texts meet the runs of their bucket, and take their ids from them.
+3. the dictionary, of a bounded size, is broadcast, and texts take their ids from it where they are read.
 
-A run of more than LONG characters (a web address, base64, a script without spaces) doesn't fit into the bits; the worker
-folds it where texts meet runs, BPE by a heap of neighbouring pairs and unigram by Viterbi over bounded lengths, in about
-linear time, with the same result as the fold.
+Runs that aren't in it (rare ones, and those of more than LONG characters, which don't fit into the bits: web addresses,
+base64, scripts without spaces) are folded by the worker that meets them, with the same result: BPE by a heap of neighbouring
+pairs, unigram by Viterbi over bounded lengths, both in about linear time. No text is shuffled. Lattices of all runs by Spark
+were measured and are far slower; figures are in the README.
 
 Characters that no piece covers become byte pieces. Decoding looks up the pieces' bytes. Models must have the identity
 normalizer, a space before the text and no removal of spaces. Defined results: null and empty texts have no ids and decode
@@ -33,13 +34,15 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import lean
+from loomline.llm.shared import Scratch, lean
+from loomline.llm.texts import slices
+from loomline.llm.token_orc import ids_array
 
-BUCKET_CHARS = 6_000_000
+#: The dictionary has up to so many runs; a worker remembers as many others.
+MOST_RUNS = 200_000
 LONG = 60
 #: An edge's id has 20 bits; none has all of them set.
 NO_ID = (1 << 20) - 1
@@ -192,38 +195,43 @@ def dictionary(runs: DataFrame, table: PieceTable, *keys: str) -> DataFrame:
     return lattice(runs.where(f"length(run) BETWEEN 1 AND {LONG}"), table, *keys).select(*keys, "run", F.expr(ids).alias("ids"))
 
 
-def encode(docs: DataFrame, table: PieceTable, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
-    """(doc_id, text, ids) of whole texts. A copy of a text goes to any bucket, so copies don't meet in one."""
-    n = 1 + (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // bucket_chars
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int").alias("bucket"))
-    dealt = rows.repartitionById(n, F.col("bucket"))
-    # the least id is carried along so that both sides read the same columns, and so the same shuffle
-    runs = dealt.select("bucket", "doc_id", F.explode_outer(runs_of("text")).alias("run")).groupBy("bucket", "run").agg(F.min("doc_id").alias("least"))
-    words = dictionary(runs, table, "bucket", "least").withColumnRenamed("bucket", "of")
-    held = docs.sparkSession.sparkContext.broadcast(table)
-
-    def meet(texts: pa.Table, found: pa.Table) -> pa.Table:
-        own, known = held.value, {}
-        ids = found.column("ids").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat, ends = pc.list_flatten(ids).to_numpy(zero_copy_only=False).astype("<i4").tobytes(), np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)) * 4
-        at = 0
-        for run, end in zip(found.column("run").to_pylist(), ends.tolist(), strict=True):
-            known[run] = flat[at:end]
-            at = end
-        out = []
-        for text in texts.column("text"):
-            cut = _RUNS.findall("▁" + text.as_py().replace(" ", "▁")) if text.is_valid and len(text.as_py()) else []
-            try:
-                out.append(b"".join(map(known.__getitem__, cut)))
-            except KeyError:
-                for r in set(cut).difference(known):
-                    known[r] = own.long_ids(r)
-                out.append(b"".join(map(known.__getitem__, cut)))
-        offsets = np.concatenate(([0], np.cumsum([len(b) // 4 for b in out]))).astype(np.int32)
-        made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
-        return pa.table({"doc_id": texts.column("doc_id"), "text": texts.column("text"), "ids": made})
-
-    return dealt.groupBy("bucket").cogroup(words.groupBy("of")).applyInArrow(meet, "doc_id long, text string, ids array<int>")
+def frequent(docs: DataFrame, most: int) -> DataFrame:
+    """Up to `most` of the most frequent runs of at most LONG characters: whole levels of frequency, from the top."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    runs = docs.select(F.explode(runs_of("text")).alias("run")).where(f"length(run) <= {LONG}").groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
+    counted = Scratch(docs.sparkSession, "runs").keep(runs.withColumn("level", level), "counted")
+    least, held = 1 << 20, 0
+    for r in sorted(counted.groupBy("level").agg(F.count("*").alias("runs")).collect(), key=lambda r: -r.level):  # some 300 levels at most
+        held += r.runs
+        if held > most:
+            break
+        least = r.level
+    return counted.where(F.col("level") >= least).select("run")
+
+
+def encode(docs: DataFrame, table: PieceTable, most: int = MOST_RUNS) -> DataFrame:
+    """(doc_id, text, ids) of whole texts."""
+    words = dictionary(frequent(docs, most).repartition("run"), table).toPandas()  # a bounded number of rows
+    known = {r: np.asarray(ids, "<i4").tobytes() for r, ids in zip(words.run, words.ids, strict=True)}
+    held = docs.sparkSession.sparkContext.broadcast((table, known))
+
+    def run(batches):
+        own, known = held.value
+        rare: dict[str, bytes] = {}
+        for batch in batches:
+            for part in slices(batch):
+                out = []
+                for text in part.column("text").to_pylist():
+                    cut = _RUNS.findall("▁" + text.replace(" ", "▁")) if text else []
+                    try:
+                        out.append(b"".join(map(known.__getitem__, cut)))
+                    except KeyError:
+                        if len(rare) > MOST_RUNS:
+                            rare.clear()
+                        out.append(b"".join([known.get(r) or rare.get(r) or rare.setdefault(r, own.long_ids(r)) for r in cut]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids_array(out)], ["doc_id", "text", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, text string, ids array<int>")
 
 
 def decode(encoded: DataFrame, table: PieceTable, text_col: str = "decoded") -> DataFrame:
