@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts become runs (spaces are U+2581, one stands before the text; a run is spaces and what follows them, and no piece
-reaches over its end). All runs of the corpus are counted, and up to MOST_RUNS of the most frequent ones make a dictionary:
+reaches over its end). Words between spaces are counted, and up to MOST_RUNS of the most frequent ones make a dictionary:
 
 1. they are exploded into all substrings of bounded length, these are equi-joined to the table of pieces (of a fixed size,
    so broadcast), and the edges are grouped by run: the lattice;
@@ -14,8 +14,8 @@ reaches over its end). All runs of the corpus are counted, and up to MOST_RUNS o
 3. the dictionary, of a bounded size, is broadcast, and texts take their ids from it where they are read.
 
 Runs that aren't in it (rare ones, and those of more than LONG characters, which don't fit into the bits: web addresses,
-base64, scripts without spaces) are folded by the worker that meets them, with the same result: BPE by a heap of neighbouring
-pairs, unigram by Viterbi over bounded lengths, both in about linear time. No text is shuffled. Lattices of all runs by Spark
+base64, scripts without spaces) are folded by the worker that meets them, with the same result: BPE by joining the
+best of neighbouring pairs (long runs by a heap of them), unigram by Viterbi over bounded lengths, both in about linear time. No text is shuffled. Lattices of all runs by Spark
 were measured and are far slower; figures are in the README.
 
 Characters that no piece covers become byte pieces. Decoding looks up the pieces' bytes. Models must have the identity
@@ -34,15 +34,15 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.shared import Scratch, lean
 from loomline.llm.texts import slices
 from loomline.llm.token_orc import ids_array
 
-#: The dictionary has up to so many runs; a worker remembers as many others.
-MOST_RUNS = 200_000
+#: The dictionary has up to so many runs; a worker remembers up to so many others.
+MOST_RUNS, RARE_RUNS = 500_000, 200_000
 LONG = 60
 #: An edge's id has 20 bits; none has all of them set.
 NO_ID = (1 << 20) - 1
@@ -64,6 +64,7 @@ class PieceTable:
         self.longest = max(len(p.id_to_piece(i)) for i in plain)
         self.piece = {p.id_to_piece(i): (-float(p.get_score(i)), i) for i in plain}
         self.cost = {i: cost for cost, i in self.piece.values()}
+        self.pair_cost = {x: cost for x, (cost, _) in self.piece.items()}.get
         self.first_byte = p.piece_to_id("<0x00>")
         self.raw = [bytes([i - self.first_byte]) if p.is_byte(i) else b"" if p.is_control(i) else p.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
         if n >= NO_ID or self.longest > LONG:
@@ -81,6 +82,21 @@ class PieceTable:
         ranks: list[float] = []
         return len(self.fold(piece, ranks)) > 1 or not ranks or ranks == sorted(ranks)
 
+    def short(self, run: str) -> list[str]:
+        """Parts of a short run: the costs of all neighbouring pairs, the best of which is joined until none is a piece."""
+        get, none = self.pair_cost, float("inf")
+        parts = list(run)
+        costs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while costs and (least := min(costs)) < none:
+            i = costs.index(least)
+            parts[i] += parts.pop(i + 1)
+            del costs[i]
+            if i < len(costs):
+                costs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                costs[i - 1] = get(parts[i - 1] + parts[i], none)
+        return parts
+
     def fold(self, run: str, ranks: list[float] | None = None) -> list[str]:
         """Parts of a run of any length, by a heap of neighbouring pairs (the best rank, then the leftmost)."""
         piece, n = self.piece, len(run)
@@ -131,19 +147,17 @@ class PieceTable:
     def long_ids(self, run: str) -> bytes:
         """Ids of a run, as little-endian 32-bit integers."""
         ids: list[int] = []
-        for x in self.fold(run) if self.kind == "bpe" else self.viterbi(run):
-            ids += [self.piece[x][1]] if x in self.piece else [self.first_byte + b for b in x.encode()]
+        for x in self.viterbi(run) if self.kind != "bpe" else self.short(run) if len(run) <= LONG else self.fold(run):
+            if x in self.piece:
+                ids.append(self.piece[x][1])
+            else:
+                ids += [self.first_byte + b for b in x.encode()]
         return array("i", ids).tobytes()
 
     def text(self, ids: np.ndarray) -> str:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
 
 
-def runs_of(text: str) -> Column:
-    whole = F.concat(F.lit("▁"), F.replace(F.col(text), F.lit(" "), F.lit("▁")))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(whole, F.lit(_RUN), F.lit(0)))
-
-
 def lattice(runs: DataFrame, table: PieceTable, *keys: str) -> DataFrame:
     """(keys, run, edges) of distinct runs of at most LONG characters: edges as longs of (rank, s, n, id), so by rank, then
     place; s counts from 0. Edges of one ASCII character are left out, a short table has them. Nothing is shuffled if runs
@@ -196,9 +210,10 @@ def dictionary(runs: DataFrame, table: PieceTable, *keys: str) -> DataFrame:
 
 
 def frequent(docs: DataFrame, most: int) -> DataFrame:
-    """Up to `most` of the most frequent runs of at most LONG characters: whole levels of frequency, from the top."""
+    """Up to `most` of the most frequent runs of one space and at most LONG characters: whole levels of frequency, from the top."""
     level = F.floor(F.log2("n") * 8).cast("int")
-    runs = docs.select(F.explode(runs_of("text")).alias("run")).where(f"length(run) <= {LONG}").groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
+    words = docs.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    runs = words.where(f"n > 1 AND word <> '' AND length(word) < {LONG} AND NOT contains(word, '▁')").select(F.concat(F.lit("▁"), "word").alias("run"), "n")
     counted = Scratch(docs.sparkSession, "runs").keep(runs.withColumn("level", level), "counted")
     least, held = 1 << 20, 0
     for r in sorted(counted.groupBy("level").agg(F.count("*").alias("runs")).collect(), key=lambda r: -r.level):  # some 300 levels at most
@@ -226,7 +241,7 @@ def encode(docs: DataFrame, table: PieceTable, most: int = MOST_RUNS) -> DataFra
                     try:
                         out.append(b"".join(map(known.__getitem__, cut)))
                     except KeyError:
-                        if len(rare) > MOST_RUNS:
+                        if len(rare) > RARE_RUNS:
                             rare.clear()
                         out.append(b"".join([known.get(r) or rare.get(r) or rare.setdefault(r, own.long_ids(r)) for r in cut]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids_array(out)], ["doc_id", "text", "ids"])
