@@ -28,3 +28,8 @@ def allocate(rows: DataFrame, bucket: list[str], order: str, total: str, weight:
     rounded = rows.withColumn("_s", F.round(share, 8).cast("decimal(20,8)")).withColumn("_k", F.row_number().over(ordered)).withColumn("_n", n)
     others = F.coalesce(F.sum("_s").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rounded.withColumn(out, F.when(F.col("_k") == F.col("_n"), F.col(total).cast("decimal(20,8)") - others).otherwise(F.col("_s")).cast("decimal(20,8)")).drop("_s", "_k", "_n")
+
+
+def placed(rows: DataFrame, order: list[Column], place: str) -> DataFrame:
+    """rows, of which there are few (a page, a top-k or groups), with their place in an order over all of them."""
+    return rows.withColumn(place, F.row_number().over(Window.orderBy(*order)).cast("long"))

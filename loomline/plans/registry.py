@@ -93,13 +93,6 @@ def history_within_budget(spark, sf_dir):
     return W.within_budget(turns, ["conv_id"], [F.desc("turn"), F.asc("role"), F.asc("text")], "size", 600).select("conv_id", "turn")
 
 
-@query(f"""WITH {_USAGE}, t AS (SELECT *, sum(cost) OVER w AS s, count(*) OVER w AS n, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY event_id) AS i FROM usage WINDOW w AS (PARTITION BY event_type, CAST(ts AS DATE)))
-SELECT event_type, CAST(ts AS DATE) AS day, CAST(12.5 AS DOUBLE) AS total, count(*) AS n FROM t GROUP BY 1, 2""")
-def allocation_totals(spark, sf_dir):
-    rows = usage(spark, sf_dir).withColumn("day", F.to_date("ts")).withColumn("total", F.lit("12.50000000").cast("decimal(14,8)"))
-    return W.allocate(rows, ["event_type", "day"], "event_id", "total", "cost").groupBy("event_type", "day").agg(F.sum("allocated").cast("double").alias("total"), F.count("*").alias("n"))
-
-
 @query("""SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) % 10, event_id) AS n FROM events) WHERE n <= 4""")
 def queue_eligible(spark, sf_dir):
     rows = usage(spark, sf_dir).withColumn("priority", F.col("k") % 10)
@@ -178,16 +171,6 @@ def insert_or_ignore(spark, sf_dir):
     return R.insert_new(part.where("p_size > 10").select("p_partkey", "p_name"), part.select("p_partkey", F.upper("p_name").alias("p_name")), "p_partkey")
 
 
-@query(f"""WITH {_LINES}, s AS (SELECT doc_id, line_index, CAST(len(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')) AS BIGINT) AS n_tokens,
- CASE WHEN length(line) > 0 THEN (length(line) - length(regexp_replace(line, '[\\p{{L}}]', '', 'g'))) / length(line) ELSE 0 END AS alpha,
- CASE WHEN length(line) > 0 THEN (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) / length(line) ELSE 0 END AS sym FROM lines)
-SELECT doc_id, line_index, n_tokens, round(1.0 - CASE WHEN alpha < 0.45 THEN 0.35 ELSE 0 END - CASE WHEN sym > 0.2 THEN 0.35 ELSE 0 END - CASE WHEN n_tokens < 4 THEN 0.4 ELSE 0 END, 3) AS quality FROM s""")
-def chunk_quality(spark, sf_dir):
-    rows = lines(table(spark, sf_dir, "documents")).withColumn("n_tokens", C.n_tokens("line"))
-    score = 1.0 - F.when(C.share("line", r"\p{L}") < 0.45, 0.35).otherwise(0.0) - F.when(C.share("line", "#*$%&|<>") > 0.2, 0.35).otherwise(0.0) - F.when(F.col("n_tokens") < 4, 0.4).otherwise(0.0)
-    return rows.select("doc_id", F.col("line_index").cast("long").alias("line_index"), "n_tokens", F.round(score, 3).alias("quality"))
-
-
 @query(rf"""WITH {_LINES} SELECT CASE WHEN length(trim(line)) = 0 THEN 'blank' WHEN regexp_matches(line, '^\s*[-*•] ') THEN 'list' WHEN contains(line, '|') THEN 'table'
  WHEN regexp_matches(line, '[=+^]') AND regexp_matches(line, '[0-9]') THEN 'formula' ELSE 'paragraph' END AS kind, count(*) AS n FROM lines GROUP BY 1""")
 def line_kinds(spark, sf_dir):
