@@ -28,10 +28,8 @@ PASSAGE = 512
 PAIRS = 256
 CLASSES = 12
 WIDTH = PAIRS + CLASSES + 4
-#: The classifier is fitted on about so many labelled documents (all, if there are fewer) ...
+#: The classifier is fitted on all passages of about so many labelled documents (all, if there are fewer).
 MAX_TRAIN_DOCS = 6_000
-#: ... of a longer one, on so many of its passages, evenly spread. Scoring always takes all passages.
-MAX_TRAIN_PASSAGES = 32
 
 
 @cache
@@ -164,17 +162,16 @@ def _encoded(batches):
             x, bounds = passages(part.column("text"))
             for i, y in enumerate(part.column("quality").to_pylist()):
                 own = x[bounds[i] : bounds[i + 1]]
-                if len(own) > MAX_TRAIN_PASSAGES:
-                    own = own[np.linspace(0, len(own) - 1, MAX_TRAIN_PASSAGES).astype(int)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(i, 1).cast(pa.int64()), pa.array([y], pa.int64()), pa.array([own.astype(np.float16).tobytes()], pa.binary())], ["doc_id", "y", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> MilModel:
-    """Learn `labels.quality` from whole texts of labelled documents that are not held out. The picked labels have a
-    bounded number of rows, and so are broadcast."""
+    """Learn `labels.quality` from whole texts of labelled documents that are not held out; a repeated id counts once, with
+    the least text and label. The picked labels have a bounded number of rows, and so are broadcast."""
     usable = labels.where(~held_out() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("long").alias("quality"))
     picked = F.broadcast(bounded_sample(usable, "doc_id", max_train_docs, 6))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").mapInArrow(lean(_encoded), "doc_id long, y long, x binary").toPandas().sort_values(["doc_id", "y", "x"], kind="stable")
+    once = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    rows = once.mapInArrow(lean(_encoded), "doc_id long, y long, x binary").toPandas().sort_values(["doc_id", "y", "x"], kind="stable")
     bags = [np.frombuffer(b, np.float16).reshape(-1, WIDTH).astype(np.float32) for b in rows.x]
     return train(np.concatenate(bags or [np.zeros((0, WIDTH), np.float32)]), np.concatenate(([0], np.cumsum([len(b) for b in bags]))).astype(int), (rows.y.to_numpy() > 0).astype(np.float32))
 

@@ -2,8 +2,8 @@
 
 One model learns from random strings (hexadecimal, base64, letters with digits), the other from ordinary identifiers and
 words; a token of MIN_TOKEN characters or more is a secret where the log-likelihood ratio is high in all and by character.
-The random strings are drawn with a fixed seed; the ordinary ones are fixed identifiers plus tokens of a bounded sample of
-the documents, without what the patterns find. Scanning is one pass without a shuffle; spans are in code points.
+The random strings are drawn with a fixed seed; the ordinary ones are fixed identifiers plus the tokens of all documents,
+without what the patterns find. Scanning is one pass without a shuffle; spans are in code points.
 
 Defined results: a null or empty text has no spans; without any documents only the fixed identifiers are learned;
 repeated rows are rows of their own; other columns pass through untouched.
@@ -20,11 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.shared import bounded_sample, lean
+from loomline.llm.shared import lean
 
 KINDS = ("assign", "access", "hex", "random")
-#: The ordinary model learns from tokens of about so many documents (all, if there are fewer).
-MAX_TRAIN_DOCS = 2_000
 #: Tokens have this many characters at least; shorter ones carry too little evidence.
 MIN_TOKEN = 16
 #: A token counts as random from these log-likelihood ratios (natural logarithm), in all and a character.
@@ -33,6 +31,7 @@ MIN_RATIO, MIN_RATE = 20.0, 0.7
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of the class is matched whole, so its least length can stand in the pattern
 _HEX = re.compile(r"[0-9a-f]{24,}")
+_WORD = re.compile(r"[A-Za-z0-9+/_-]{8,}")
 _TOKEN = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}={{0,2}}")
 
 #: Fixed parts of ordinary identifiers.
@@ -67,10 +66,10 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _counts(tokens: list[str]) -> np.ndarray:
-    n = np.zeros((STATES, STATES))
-    for t in tokens:
-        codes = _CODE[np.frombuffer(t.encode("ascii"), np.uint8)]
-        np.add.at(n, (np.concatenate(([STATES - 1], codes[:-1])), codes), 1)
+    """How often a state follows another; a line break between tokens is the state before the first character."""
+    codes = _CODE[np.frombuffer(("\n" + "\n".join(tokens)).encode("ascii"), np.uint8)]
+    n = np.bincount(codes[:-1] * STATES + codes[1:], minlength=STATES * STATES).reshape(STATES, STATES).astype(float)
+    n[:, STATES - 1] = 0
     return n
 
 
@@ -130,19 +129,21 @@ class MarkovPair:
 
 def _ordinary_pairs(batches):
     for batch in batches:
-        n = np.zeros((STATES, STATES))
+        tokens = []
         for text in batch.column("text").to_pylist():
             text = text or ""
-            base = base_spans(text)
-            n += _counts([m[0] for m in re.finditer(r"[A-Za-z0-9+/_-]{8,}", text) if not any(a < m.end() and m.start() < b for _, a, b in base)])
+            if base := base_spans(text):
+                tokens += [m[0] for m in _WORD.finditer(text) if not any(a < m.end() and m.start() < b for _, a, b in base)]
+            else:
+                tokens += _WORD.findall(text)
+        n = _counts(tokens)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n.ravel()[at].astype(np.int64))], ["pair", "n"])
 
 
-def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> MarkovPair:
+def fit(docs: DataFrame) -> MarkovPair:
     """Both models; what comes to the driver is at most STATES * STATES counts."""
-    sample = bounded_sample(docs.select("doc_id", "text").where("text IS NOT NULL"), "doc_id", max_train_docs, 5)
-    pairs = sample.select("text").mapInArrow(lean(_ordinary_pairs), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    pairs = docs.select("text").mapInArrow(lean(_ordinary_pairs), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     ordinary = _counts(labelled_ordinary())
     here = np.zeros(STATES * STATES)
     here[pairs.pair.to_numpy()] = pairs.n.to_numpy()

@@ -76,6 +76,33 @@ def test_op2_round_trip(spark, odd, none, docs):
     assert token_orc.starts(token_orc.read(spark, path)).count() == 0
 
 
+def test_encoder_equals_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(queries.BPE_FILE)
+    fresh, own = Tokenizer.from_file(path), bpe.encoder(path)
+    special = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    rng = np.random.default_rng(9)
+    parts = ["a", "B", "word", " ", "  ", "\n", "\t", "'s", "don't", "12", "3.5", "é", "ß", "ñandú", "日本", "Ⅳ", "!?", "_x", "\r\n", "\u00a0", "\x00", *special]
+    texts = ["", " ", "hello <|endoftext|> world", *special, *("".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(3_000))]
+    for t in texts:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids, t
+
+
+def test_op2_filter_skips_stripes(spark):
+    rows = spark.range(0, 40_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of a text"), F.col("id").cast("string")).alias("text"))
+    path = Scratch(spark, "t").path("orc")
+    token_orc.write(rows, path, queries.tokenizer_path(queries.BPE_FILE), 2, stripe_bytes=1 << 16)
+    found = token_orc.read(spark, path).where("doc_id = 777")
+    assert len(found.collect()) == 1
+    leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert "EqualTo(doc_id,777)" in leaf.toString()
+    vectors = token_orc.read(spark, path).where("doc_id = 777").select("doc_id")
+    vectors.collect()
+    read = vectors._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
+    assert 0 < read < 20_000
+
+
 def test_op3_equals_library(spark, none, odd, docs):
     from sentencepiece import SentencePieceProcessor
 
@@ -152,6 +179,81 @@ def test_op5_base(spark, odd, none):
     assert r.text == "é [SECRET] x" and r.n_chars == 12
 
 
+def restated_secrets(text):
+    text = text or ""
+    kinds = (("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "(AKIA[A-Z0-9]+)"), ("hex", "([0-9a-f]+)"))
+    least = {"assign": 6, "access": 20, "hex": 24}
+    return [(kind, m.start(), m.end()) for kind, pattern in kinds for m in re.finditer(pattern, text) if len(m[1]) >= least[kind]]
+
+
+def test_op5_base_spans_equal_restated_patterns(spark):
+    import hashlib
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    for r in queries.op5_secret_scan(spark, "/root/testdata/sf0.01").collect():
+        want = restated_secrets(docs[r.doc_id])
+        order = sorted(want, key=lambda x: (x[1], secret_scan.KINDS.index(x[0]), x[2]))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in order).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for k, _, _ in want) for x in ("assign", "access", "hex")]
+
+
+def test_op5_precision_and_recall_of_random_tokens(spark):
+    model = secret_scan.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    random, ordinary = secret_scan.labelled_random(2_000, seed=901), [t for t in secret_scan.labelled_ordinary(4_000, seed=902) if len(t) >= secret_scan.MIN_TOKEN]
+    hits, false = model.random(random).mean(), model.random(ordinary).mean()
+    assert hits > 0.9 and false < 0.01
+    plain = sum(model.ratio[secret_scan._CODE[ord(a)] if a else secret_scan.STATES - 1, secret_scan._CODE[ord(b)]] for a, b in zip(["", *random[0]], random[0]))
+    assert bool(model.random(random[:1])[0]) == (plain >= secret_scan.MIN_RATIO and plain >= secret_scan.MIN_RATE * len(random[0]))
+
+
+def test_op6_forward_equals_plain_loops():
+    import math
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    bounds = np.array([0, 3, 4, 9])
+    x, y = rng.normal(size=(9, quality_mil.WIDTH)).astype(np.float32), np.array([1.0, 0.0, 1.0], np.float32)
+    model = quality_mil.train(x, bounds, y, hidden=4, gate=3, epochs=2)
+    w, z = {k: v.tolist() for k, v in model.w.items()}, (x - model.mean) / model.scale
+    got = model.forward(z, bounds)["p"]
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for bag in range(3):
+        hs = [[math.tanh(sum(float(z[i][j]) * w["W"][j][k] for j in range(quality_mil.WIDTH)) + w["b"][k]) for k in range(4)] for i in range(bounds[bag], bounds[bag + 1])]
+        gate = [sum(math.tanh(sum(h[k] * w["V"][k][g] for k in range(4))) * sigmoid(sum(h[k] * w["U"][k][g] for k in range(4))) * w["a"][g] for g in range(3)) for h in hs]
+        e = [math.exp(g) for g in gate]
+        rep = [sum(a / sum(e) * h[k] for a, h in zip(e, hs)) for k in range(4)]
+        assert got[bag] == pytest.approx(sigmoid(sum(r * c for r, c in zip(rep, w["c"])) + w["d"][0]), abs=1e-4)
+    one, two = quality_mil.passages(pa.array(["ab cd", None])), quality_mil.passages(pa.array(["ab cd"]))
+    assert list(one[1]) == [0, 1, 2] and np.array_equal(one[0][0], two[0][0])
+
+
+def test_op7_equals_plain_naive_bayes(spark):
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    frame = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in docs], "doc_id long, text string, lang string")
+    model = language_nb.fit(frame)
+    grams = lambda t: [int(b) for bs in language_nb.grams(pa.array([t or ""]))[0] for b in bs if b != language_nb.BUCKETS]
+    counts, prior = {}, Counter()
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None and r.text is not None:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+            prior[r.lang] += 1
+    total = {lang: sum(c.values()) + 0.1 * language_nb.BUCKETS for lang, c in counts.items()}
+    got = {r.doc_id: r for r in language_nb.predict(spark, frame, model).collect()}
+    for r in docs[:60]:
+        g = grams(r.text)
+        if not g:
+            continue
+        s = {lang: math.log(prior[lang] / sum(prior.values())) + min(1.0, language_nb.EVIDENCE / len(g)) * sum(math.log((c[b] + 0.1) / total[lang]) for b in g) for lang, c in counts.items()}
+        best = max(sorted(s), key=s.get)
+        assert got[r.doc_id].lang_pred == best and got[r.doc_id].score == pytest.approx(1 / sum(math.exp(v - s[best]) for v in s.values()), abs=1e-3)
+
+
 def test_op6_held_out(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality_mil.fit(docs, labels)
@@ -354,6 +456,21 @@ def test_pipeline(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, now, DATA).select("doc_id").distinct().count() == n
 
 
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_with_odd_rows(spark, odd, none, stage):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables: every stage but the last returns the
+    columns of its input, and near duplicates, secrets and packing account for every row."""
+    for df in (odd, none):
+        rows = stage(spark, df.withColumn("lang", F.lit("en")), DATA)
+        got = rows.collect()
+        if stage is corpus_pipeline.pack:
+            assert {r.doc_id for r in got} == {r.doc_id for r in df.collect()}
+        else:
+            assert rows.columns == [*df.columns, "lang"] and len(got) <= df.count()
+        if stage is corpus_pipeline.secrets:
+            assert len(got) == df.count()
+
+
 def test_components_and_later_links_equal_union_find(spark):
     from loomline.llm.components import components, merged
     from loomline.llm.shared import Scratch
