@@ -34,6 +34,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,14 +225,32 @@ def frequent(docs: DataFrame, most: int) -> DataFrame:
     return counted.where(F.col("level") >= least).select("run")
 
 
+class RunTable:
+    """Ids of runs, as Arrow columns on the driver and on the way; a worker makes a dict of them once."""
+
+    def __init__(self, words: pa.Table):
+        self.words, self.known = words, None
+
+    def by_run(self) -> dict[str, bytes]:
+        if self.known is None:
+            self.known = {}
+            for batch in self.words.to_batches():
+                ids = batch.column("ids")
+                flat, at = pc.list_flatten(ids).to_numpy(zero_copy_only=False).astype("<i4").tobytes(), 0
+                for run, n in zip(batch.column("run").to_pylist(), pc.list_value_length(ids).to_pylist(), strict=True):
+                    self.known[run] = flat[at : at + 4 * n]
+                    at += 4 * n
+            self.words = None
+        return self.known
+
+
 def encode(docs: DataFrame, table: PieceTable, most: int = MOST_RUNS) -> DataFrame:
     """(doc_id, text, ids) of whole texts."""
-    words = dictionary(frequent(docs, most).repartition("run"), table).toPandas()  # a bounded number of rows
-    known = {r: np.asarray(ids, "<i4").tobytes() for r, ids in zip(words.run, words.ids, strict=True)}
-    held = docs.sparkSession.sparkContext.broadcast((table, known))
+    words = dictionary(frequent(docs, most).repartition("run"), table).toArrow().combine_chunks()  # a bounded number of rows
+    held = docs.sparkSession.sparkContext.broadcast((table, RunTable(words)))
 
     def run(batches):
-        own, known = held.value
+        own, known = held.value[0], held.value[1].by_run()
         rare: dict[str, bytes] = {}
         for batch in batches:
             for part in slices(batch):
