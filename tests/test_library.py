@@ -119,3 +119,30 @@ def test_upsert_rules_with_nulls_and_empty_values(spark):
     new = spark.createDataFrame([(1, None, None, "", "x", 3), (2, "y", "y", "y", "y", 4), (3, "z", "z", "z", "z", 6)], "k int, a string, b string, c string, d string, e int")
     rules = {"a": "overwrite", "b": "keep_if_null", "c": "keep_if_empty", "d": "existing", "e": "greatest"}
     assert sorted(tuple(r) for r in R.merge_rows(old, new, "k", rules).collect()) == [(1, None, "b", "c", "d", 5, 1), (2, "y", "y", "y", "y", 4, 2), (3, "z", "z", "z", "z", 6, None)]
+
+
+def test_lines_are_split_to_a_budget_with_an_overlap():
+    from loomline.plans.line_rules import split_to_budget
+
+    assert list(split_to_budget([3, 3, 3, 3], 6, 0)) == [(0, 2), (2, 4)]
+    assert list(split_to_budget([3, 3, 3, 3], 6, 2)) == [(0, 2), (1, 3), (2, 4)]
+    assert list(split_to_budget([9, 1], 6, 0)) == [(0, 1), (1, 2)] and list(split_to_budget([], 6, 2)) == []
+
+
+def test_chunks_keep_sections_and_kinds_apart():
+    from loomline.plans.line_rules import chunked
+
+    row = lambda text, kind="paragraph", heading=False: {"text": text, "kind": kind, "heading": heading, "n_tokens": len(text.split())}
+    rows = [row("Overview", heading=True), row("a b c"), row(""), row("d e", "list"), row("1 2 table", "table"), row("Notes", heading=True), row("f"), row("g " * 9), row("h " * 9)]
+    assert list(chunked(rows, 12, 0)) == [("Overview", "paragraph", [1, -1, 3]), ("Overview", "table", [4]), ("Notes", "paragraph", [6, 7]), ("Notes", "paragraph", [8])]
+
+
+def test_document_chunks_hold_every_kept_line(spark):
+    from loomline.functions import lines as L
+
+    docs = table(spark, DATA, "documents")
+    lines_of = {r.doc_id: r.l for r in docs.select("doc_id", F.filter(F.split(L.normalized(F.col("text")), "\n"), lambda x: (x != "") & ~L.heading(x)).alias("l")).collect()}
+    got = {}
+    for r in registry.QUERIES["document_chunks"](spark, DATA).orderBy("doc_id", "chunk").collect():
+        got.setdefault(r.doc_id, set()).update(r.text.split("\n"))
+    assert all(set(v) <= got.get(k, set()) for k, v in lines_of.items() if v)
