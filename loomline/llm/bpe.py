@@ -15,7 +15,7 @@ from array import array
 from functools import cache
 
 #: A worker's table holds at most twice as many words: those used since the last turn, and those before.
-MAX_WORDS = 200_000
+MAX_WORDS = 400_000
 
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
