@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,8 +43,11 @@ def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def insert_new(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of changes whose key isn't there yet are added, the others ignored."""
-    return current.unionByName(changes.join(current.select(key), key, "left_anti"))
+    """Rows of changes whose key isn't there yet are added, the others ignored; of repeated new keys the first row by its values. A
+    null key equals none."""
+    new = changes.join(current.select(key), key, "left_anti")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*(c for c in new.columns if c != key)))
+    return current.unionByName(new.withColumn("_n", F.when(F.col(key).isNull(), 1).otherwise(first)).where("_n = 1").drop("_n"))
 
 
 def merge_rows(current: DataFrame, changes: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:

@@ -198,7 +198,10 @@ _DISTANCE = "round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embeddin
 @query(f"SELECT a.vec_id, a.label, {_DISTANCE} AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = 7 WHERE a.label IN (1, 3, 5, 7, 9) ORDER BY distance, a.vec_id LIMIT 15")
 def vector_search_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    query_vector = vectors.where("vec_id = 7").select("embedding").first()[0]
+    asked = vectors.where("vec_id = 7").select("embedding").first()
+    if asked is None:  # nothing is near to a vector that isn't there
+        return vectors.limit(0).select("vec_id", "label", F.lit(0.0).alias("distance"))
+    query_vector = asked[0]
     return V.nearest(vectors.where(F.col("label").isin(1, 3, 5, 7, 9)), query_vector, 15).select("vec_id", "label", "distance")
 
 
@@ -208,7 +211,7 @@ SELECT item, min(adjusted) AS distance, count(*) AS n_queries FROM j WHERE adjus
 def multi_query_fusion(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where(F.col("vec_id").isin(3, 11, 42)).select("embedding").collect()  # the stated questions
-    each = F.array(*(F.array(*(F.lit(float(x)) for x in r[0])) for r in asked))
+    each = F.array(*(F.array(*(F.lit(float(x)) for x in r[0])) for r in asked)).cast("array<array<double>>")
     hits = vectors.select(F.col("vec_id").alias("item"), "embedding", F.explode(each).alias("q")).select("item", F.round(C.distance(F.col("embedding"), F.col("q")), 6).alias("distance"))
     return V.fused(hits.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "n_chars"), "item"), 1.35)
 

@@ -72,6 +72,18 @@ def test_upsert_keeps_old_where_new_is_null(spark):
     assert sorted(tuple(r) for r in R.upsert(old, new, "k").collect()) == [(1, "a", "x"), (2, "b", "y"), (3, "c", None)]
 
 
+def test_inserts_once(spark):
+    rows = lambda r: spark.createDataFrame(r, "k int, v string")
+    got = R.insert_new(rows([(1, "a")]), rows([(1, "b"), (2, "d"), (2, "c"), (None, "x"), (None, "y")]), "k").collect()
+    assert sorted((r.k or 0, r.v) for r in got) == [(0, "x"), (0, "y"), (1, "a"), (2, "c")]
+
+
+def test_search_without_the_question(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/embeddings.parquet").limit(0).write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    table(spark, DATA, "documents").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert [registry.QUERIES[q](spark, f"file://{tmp_path}").count() for q in ("vector_search_topk", "multi_query_fusion")] == [0, 0]
+
+
 def test_diff(spark):
     a, b = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "k int, m int"), spark.createDataFrame([(2, 5), (3, None), (4, 4)], "k int, m int")
     assert {r.k: r.change for r in R.snapshot_diff(a, b, "k", "m").collect()} == {1: "removed", 2: "modified", 3: "unchanged", 4: "added"}
