@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import language_nb, license_scan, lsh_forest, nra_topk, packing, quality_mil, quality_rules, secret_scan, sentencepiece_lattice, token_orc
+from loomline.llm import importance_resampling, language_nb, license_scan, lsh_forest, nra_topk, packing, quality_mil, quality_rules, secret_scan, sentencepiece_lattice, shard_lpt, spelling_variants, token_orc
 from loomline.llm.shared import Scratch, held_out, ship_package, table
 
 #: Where the vocabulary files of public tokenizers lie.
 BPE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 QUALITY_CUT = 0.3
+SHARDS = 40
 
 
 def tokenizer_path(name: str) -> str:
@@ -81,11 +82,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(BPE_FILE), end_id=0))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    drawn = importance_resampling.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shard_lpt.assign(spark, table(spark, sf_dir, "documents"), SHARDS)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return spelling_variants.variants(spark, table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_orc, op3_sentencepiece, op4_license_scan, op5_secret_scan, op6_quality_mil, op7_language_nb, op8_lsh_forest, op9_nra_topk, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_orc, op3_sentencepiece, op4_license_scan, op5_secret_scan, op6_quality_mil, op7_language_nb, op8_lsh_forest, op9_nra_topk, op10_packing, op11_importance_resampling, op12_lpt_sharding, op13_spelling_variants, pipeline)}
 ORACLE_SQL = {"op1_quality_rules": quality_rules.SQL, "op4_license_scan": license_scan.SQL, "op9_nra_topk": nra_topk.SQL}

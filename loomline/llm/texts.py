@@ -141,3 +141,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
             x = mix(x * _ODD + w + np.uint64(1))
         h[bounds[t]] = x[0]
     return h, bounds
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of marked bytes, none across two texts, and the number of runs up to each text's start."""
+    first = np.zeros(len(inside) + 1, bool)
+    first[offsets] = True
+    starts = np.flatnonzero(inside & (~np.concatenate(([False], inside[:-1])) | first[:-1]))
+    ends = np.flatnonzero(inside & (~np.concatenate((inside[1:], [False])) | first[1:])) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
