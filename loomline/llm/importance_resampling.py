@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from loomline.llm.position_crc import crc32_spans
 from loomline.llm.ranges import numbered
 from loomline.llm.shared import Scratch, lean
+from loomline.llm.sql import CRC_TABLE, crc32
 from loomline.llm.texts import runs, slices, spread, utf8
 
 BUCKETS = 10_000
@@ -136,3 +137,22 @@ def resample(spark: SparkSession, docs: DataFrame, target: DataFrame, percent: i
     """Every document's words, features, weight, score, and its rank if it is drawn."""
     gain = gains(counts(target, longest, buckets), counts(docs, longest, buckets))
     return draw(Scratch(spark, "resample"), weighed(docs, gain, longest), percent)
+
+
+SQL = rf"""
+WITH {CRC_TABLE},
+texts AS (SELECT 'S' AS side, doc_id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'T', NULL, row_number() OVER (), text FROM benchmark),
+words AS (SELECT side, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+hashed AS (SELECT word, {crc32("word")} % {BUCKETS} AS bucket FROM (SELECT DISTINCT word FROM words), crc_table),
+found AS (SELECT side, r, bucket FROM words JOIN hashed USING (word)),
+held AS (SELECT bucket, count(*) FILTER (side = 'S') AS s, count(*) FILTER (side = 'T') AS t FROM found GROUP BY bucket),
+sums AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM held),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + {BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * (t_all + {BUCKETS})::DOUBLE)))::BIGINT AS gain FROM held, sums),
+weights AS (SELECT r, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM found JOIN gains USING (bucket) WHERE side = 'S' GROUP BY r),
+scored AS (
+  SELECT doc_id, r, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM texts LEFT JOIN weights USING (r) WHERE side = 'S'),
+ranked AS (SELECT *, CASE WHEN n_features >= {LEAST_WORDS} THEN row_number() OVER (PARTITION BY n_features >= {LEAST_WORDS} ORDER BY score DESC, doc_id NULLS FIRST) END AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(place) FROM ranked) // 100 THEN place END AS rank FROM ranked
+"""

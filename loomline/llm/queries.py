@@ -105,4 +105,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_orc, op3_sentencepiece, op4_license_scan, op5_secret_scan, op6_quality_mil, op7_language_nb, op8_lsh_forest, op9_nra_topk, op10_packing, op11_importance_resampling, op12_lpt_sharding, op13_spelling_variants, pipeline)}
-ORACLE_SQL = {"op1_quality_rules": quality_rules.SQL, "op4_license_scan": license_scan.SQL, "op9_nra_topk": nra_topk.SQL}
+ORACLE_SQL = {"op1_quality_rules": quality_rules.SQL, "op4_license_scan": license_scan.SQL, "op9_nra_topk": nra_topk.SQL, "op11_importance_resampling": importance_resampling.SQL, "op12_lpt_sharding": shard_lpt.SQL, "op13_spelling_variants": spelling_variants.SQL}

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.ranges import numbered
 from loomline.llm.shared import Scratch
+from loomline.llm.sql import CRC_TABLE, crc32
 
 #: What a row takes besides its text.
 ROW_BYTES = 16
@@ -65,3 +66,19 @@ def write(spark: SparkSession, docs: DataFrame, shards: int, path: str) -> None:
     """The documents as Parquet, a folder for each shard, dealt by ranges of slots, so that a large shard has many files."""
     order = [F.col("shard"), F.col("slot")]
     assign(spark, docs, shards, ("text",)).select("doc_id", "text", "slot", "shard").repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("shard").parquet(path)
+
+
+SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+sized AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + {ROW_BYTES} AS size, {crc32("coalesce(text, '')")} AS crc FROM documents, crc_table),
+grouped AS (SELECT text, crc, sum(size)::BIGINT AS size, min(doc_id) AS first FROM sized GROUP BY text, crc),
+named AS (SELECT *, CASE WHEN size * {UNITS} * 40 >= (SELECT sum(size) FROM sized) THEN 'text ' || text ELSE 'bundle ' || crc % ({BUNDLES} * 40) END AS unit FROM grouped),
+units AS (SELECT unit, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY sum(size) DESC, min(first) NULLS FIRST) AS i FROM named GROUP BY unit),
+dealt AS (
+  SELECT 0::BIGINT AS i, list_transform(range(40), lambda s: 0::BIGINT) AS loads, 0::BIGINT AS least
+  UNION ALL
+  SELECT u.i, list_transform(loads, lambda load, s: CASE WHEN s = list_position(loads, list_min(loads)) THEN load + u.size ELSE load END), list_position(loads, list_min(loads))
+  FROM dealt d JOIN units u ON u.i = d.i + 1)
+SELECT doc_id, s.size, s.crc AS text_crc32, 'bytes' AS law, (least - 1)::INT AS shard, row_number() OVER (PARTITION BY least ORDER BY doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard
+FROM sized s JOIN named USING (text) JOIN units USING (unit) JOIN dealt USING (i)
+"""

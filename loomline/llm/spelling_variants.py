@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.shared import Scratch, lean
+from loomline.llm.sql import CRC_TABLE, crc32
 from loomline.llm.texts import code_points, spread
 
 LEAST_LENGTH, LEAST_COUNT, RATIO, DROP_EVERY = 7, 2, 10, 31
@@ -171,3 +172,25 @@ def variants(spark: SparkSession, docs: DataFrame, least_count: int = LEAST_COUN
     all_words = scratch.keep(all_words.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(often, F.col("best.other")).alias("form"), F.when(often, -F.col("best.less")).alias("form_n")), "formed")
     root = roots(scratch, all_words.where(F.col("form").isNotNull()))
     return all_words.join(root, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+found AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+in_doc AS (SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= {LEAST_LENGTH} GROUP BY ALL),
+hashed AS (SELECT run, n, {crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM in_doc, crc_table),
+written AS (SELECT CASE WHEN h % {DROP_EVERY} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM written WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+lacking AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM lacking a JOIN lacking b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT l.word, w.word, w.n FROM lacking l JOIN words w ON w.word = l.rest
+  UNION
+  SELECT w.word, l.word, l.n FROM lacking l JOIN words w ON w.word = l.rest),
+best AS (SELECT word, count(*) AS n_near, min({{'less': -other_n, 'other': other}}) AS best FROM near GROUP BY word),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= {RATIO} * n THEN best.other END AS form, CASE WHEN -best.less >= {RATIO} * n THEN -best.less END AS form_n FROM words LEFT JOIN best USING (word)),
+leads AS (SELECT word, word AS to FROM formed UNION ALL SELECT l.word, f.form FROM leads l JOIN formed f ON f.word = l.to WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, l.to AS root, f.n, f.n_near, f.form_n FROM formed f JOIN leads l USING (word) JOIN formed e ON e.word = l.to WHERE e.form IS NULL
+"""
