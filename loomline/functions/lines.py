@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ STRONG_TITLES = ["applications", "features", "overview", "description", "design
 STRONG_STARTS = ["section", "chapter", "appendix", "part", "module", "unit", "figure", "table", "application", "feature", "overview", "description", "design", "electrical", "pin configuration", "absolute maximum", "recommended operating"]
 DOMAIN_TERMS = ["pin", "vcc", "gnd", "ground", "trigger", "threshold", "discharge", "reset", "output", "input", "timer", "timing", "capacitor", "resistor", "current", "voltage", "frequency", "duty", "oscillator", "monostable", "astable", "led", "diode", "transistor", "collector", "emitter", "base", "mosfet", "gate", "source", "drain"]
 
-#: Parameters of the formula rule: marks and words that speak for one.
+# Marks and words that speak for a formula are parameters; the patterns below are fixed values.
 MATH_SYMBOLS, MATH_WORDS = ["=", "+", "^", "*", "/", "√", "∑", "∫", "≤", "≥", "≈"], ["equation", "formula", "solve", "minimize"]
 MIN_TOKENS = 5
 TRIMMED = r"^[()\[\]{}.,;:]+|[()\[\]{}.,;:]+$"
@@ -27,12 +29,7 @@ DATE = r"^[0-9]{1,2}[-/][A-Za-z]{3}[-/][0-9]{2,4}$"
 def share(text: Column, letters: str) -> Column:
     """Share of the characters in a class; 0 for no text."""
     n = F.length(text)
-    return (n - F.length(F.regexp_replace(text, f"[{letters}]", ""))) / F.greatest(n, F.lit(1))
-
-
-def occurrences(text: Column, word: str) -> Column:
-    """How often a word is there, without overlaps."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
+    return (n - F.length(F.regexp_replace(text, f"[{letters}]+", ""))) / F.greatest(n, F.lit(1))
 
 
 def any_of(text: Column, words: list[str]) -> Column:
@@ -43,85 +40,112 @@ def any_of(text: Column, words: list[str]) -> Column:
 
 
 def tokens(line: Column) -> Column:
-    """Lower-case words between blanks, without brackets and stops at their ends."""
-    return F.transform(F.filter(F.split(line, r"\s+"), lambda x: x != ""), lambda x: F.regexp_replace(F.lower(x), TRIMMED, ""))
+    """Words between blanks, without brackets and stops at their ends."""
+    return F.transform(F.filter(F.split(line, r"\s+"), lambda x: x != ""), lambda x: F.regexp_replace(x, TRIMMED, ""))
 
 
-def numeric_fragment(line: Column) -> Column:
-    return line.rlike(NUMERIC) & (share(line, "0-9") > 0.28)
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value made once a row: Spark shares no subexpression of a CASE's branches or of lambdas."""
+    return F.element_at(F.transform(F.array(value), lambda x: then(x)), 1)
 
 
-def package_fragment(line: Column) -> Column:
-    words, known = tokens(line), F.array(*(F.lit(t) for t in PACKAGE_TOKENS))
-    n = F.size(words)
-    package = F.size(F.filter(words, lambda x: F.array_contains(known, x)))
-    short = F.size(F.filter(words, lambda x: F.array_contains(known, x) | (F.length(x) <= 3)))
-    digit = F.exists(words, lambda x: x.rlike("[0-9]"))
-    return ((n <= 12) & (package > 0) & (digit | (package >= 2)) & (short / F.greatest(n, F.lit(1)) >= 0.75)) | line.rlike(CODES)
+def blanks(line: Column) -> Column:
+    return F.length(line) - F.length(F.translate(line, " ", ""))
 
 
-def low_value_line(line: Column) -> Column:
-    """Lines that say nothing: numbers, cells of tables, order codes, dot leaders, boilerplate, marks. An empty line is none."""
-    boiler = any_of(F.lower(line), BOILERPLATE)
-    marks = (share(line, r"^\p{L}\p{N}\s") > 0.65) & (share(line, r"\p{L}") < 0.15)
-    return (line != "") & (line.rlike("^[0-9]+$") | numeric_fragment(line) | package_fragment(line) | (share(line, ".") > 0.45) | boiler | marks)
+def measures(line: Column) -> Column:
+    """What the rules on a squeezed line ask for again and again: its lower-case form, shares of classes, and its words, if
+    they are 12 at most."""
+    return F.struct(line.alias("s"), F.lower(line).alias("low"), share(line, "0-9").alias("digits"), share(line, r"\p{L}").alias("alpha"), share(line, r"^\p{L}\p{N}\s").alias("marks"), share(line, ".").alias("dots"), F.when(blanks(line) < 12, tokens(F.lower(line))).alias("words"))
 
 
-def squeezed(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"\s+", " "))
+def _numeric(m: Column) -> Column:
+    return m.s.rlike(NUMERIC) & (m.digits > 0.28)
 
 
-def normalized(text: Column) -> Column:
-    """The text without low-value lines and with single blanks; blank lines inside stay."""
-    lines = F.transform(F.split(text, "\r\n|\r|\n"), squeezed)
-    return F.regexp_replace(F.array_join(F.filter(lines, lambda x: ~low_value_line(x)), "\n"), r"^\s+|\s+$", "")
+def _package(m: Column) -> Column:
+    known, n = F.array(*(F.lit(t) for t in PACKAGE_TOKENS)), F.size(m.words)
+    package = F.size(F.filter(m.words, lambda x: F.array_contains(known, x)))
+    short = F.size(F.filter(m.words, lambda x: F.array_contains(known, x) | (F.length(x) <= 3)))
+    digit = F.exists(m.words, lambda x: x.rlike("[0-9]"))
+    return (m.words.isNotNull() & let(package, lambda k: (k > 0) & (digit | (k >= 2)) & (short / F.greatest(n, F.lit(1)) >= 0.75))) | m.s.rlike(CODES)
 
 
-def equation_likelihood(line: Column) -> Column:
-    low = F.lower(squeezed(line))
-    symbols, words = sum((occurrences(low, s) for s in MATH_SYMBOLS), F.lit(0)), sum((F.contains(low, F.lit(w)).cast("int") for w in MATH_WORDS), F.lit(0))
+def _low_value(m: Column, numeric: Column, package: Column) -> Column:
+    marks = (m.marks > 0.65) & (m.alpha < 0.15)
+    return (m.s != "") & (m.s.rlike("^[0-9]+$") | numeric | package | (m.dots > 0.45) | any_of(m.low, BOILERPLATE) | marks)
+
+
+def _likelihood(low: Column) -> Column:
+    symbols = F.length(low) - F.length(F.translate(low, "".join(MATH_SYMBOLS), ""))
+    words = sum((F.contains(low, F.lit(w)).cast("int") for w in MATH_WORDS), F.lit(0))
     raw = 0.5 * (symbols / 5) + 0.5 * (words / 2)
     return F.round(F.least(F.lit(1.0), raw * F.least(F.length(low) / 200, F.lit(1.0))), 3)
 
 
-def line_type(line: Column) -> Column:
-    low = F.lower(line)
+def _kind(m: Column) -> Column:
     return (
-        F.when(F.contains(line, F.lit("=>")), "wiring")
-        .when(low.rlike(r"\bfigure\s+[0-9]+"), "figure")
-        .when(low.rlike(TABLE_WORDS) & (share(line, "0-9") > 0.08), "table")
-        .when(equation_likelihood(line) >= 0.25, "formula")
-        .when(line.rlike(r"^[-*•]\s+") | line.rlike(r"^[0-9]+[).]\s+"), "list")
+        F.when(F.contains(m.s, F.lit("=>")), "wiring")
+        .when(m.low.rlike(r"\bfigure\s+[0-9]+"), "figure")
+        .when(m.low.rlike(TABLE_WORDS) & (m.digits > 0.08), "table")
+        .when(_likelihood(m.low) >= 0.25, "formula")
+        .when(m.s.rlike(r"^[-*•]\s+") | m.s.rlike(r"^[0-9]+[).]\s+"), "list")
         .otherwise("paragraph")
     )
 
 
-def heading(line: Column) -> Column:
-    """Whether a squeezed line is a heading."""
-    words, low = F.split(line, " "), F.regexp_replace(F.lower(line), ":+$", "")
-    title = low.isin(STRONG_TITLES)
-    for start in STRONG_STARTS:
-        title = title | F.startswith(low, F.lit(start + " "))
-    capitals = (line == F.upper(line)) & F.length(line).between(5, 100) & (F.size(words) >= 2) & F.exists(words, lambda w: F.length(F.regexp_replace(w, TRIMMED, "")) > 3)
-    usable = (line != "") & (F.size(words) <= 12) & ~numeric_fragment(line) & ~package_fragment(line) & (share(line, "0-9") <= 0.25)
-    return usable & (title | line.rlike(NUMBERED) | F.lower(line).rlike(NOTICE) | capitals)
+def _heading(m: Column, numeric: Column, package: Column) -> Column:
+    words = F.split(m.s, " ")  # looked at in short lines alone
+    title = let(F.regexp_replace(m.low, ":+$", ""), lambda low: low.isin(STRONG_TITLES) | low.rlike("^(" + "|".join(STRONG_STARTS) + ") "))
+    capitals = (m.s == F.upper(m.s)) & F.length(m.s).between(5, 100) & (F.size(words) >= 2) & F.exists(words, lambda w: F.length(F.regexp_replace(w, TRIMMED, "")) > 3)
+    usable = (m.s != "") & (blanks(m.s) < 12) & (m.digits <= 0.25) & ~numeric & ~package
+    return usable & (title | m.s.rlike(NUMBERED) | m.low.rlike(NOTICE) | capitals)
+
+
+def classified(line: Column) -> Column:
+    """Of a squeezed line: (s, low, digits, alpha, marks, dots, kind, heading, low_value, n_tokens), each measure made once."""
+    def all_of(m: Column) -> Column:
+        judged = F.struct(_numeric(m).alias("numeric"), _package(m).alias("package"))
+        n_tokens = F.size(F.regexp_extract_all(m.low, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0)))
+        return let(judged, lambda j: F.struct(*(m[c].alias(c) for c in ("s", "low", "digits", "alpha", "marks", "dots")), _kind(m).alias("kind"), _heading(m, j.numeric, j.package).alias("heading"), _low_value(m, j.numeric, j.package).alias("low_value"), n_tokens.alias("n_tokens")))
+
+    return let(measures(line), all_of)
+
+
+def low_value_line(line: Column) -> Column:
+    """Lines that say nothing: numbers, cells of tables, order codes, dot leaders, boilerplate, marks. An empty line is none."""
+    return let(measures(line), lambda m: _low_value(m, _numeric(m), _package(m)))
+
+
+def squeezed(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"\s+", " "))
+
+
+def normalized(text: Column) -> Column:
+    """The text without low-value lines and with single blanks; blank lines inside stay."""
+    lines = F.transform(F.split(text, "\r\n|\r|\n"), squeezed)
+    return F.regexp_replace(F.array_join(F.filter(lines, lambda x: ~low_value_line(x)), "\n"), r"^\s+|\s+$", "")
+
+
+def equation_likelihood(line: Column) -> Column:
+    return let(F.lower(squeezed(line)), _likelihood)
 
 
-def quality_flags(text: Column, kind: Column, n_tokens: Column) -> Column:
-    """Flags in fixed order."""
-    alpha, digits = share(text, r"\p{L}"), share(text, "0-9")
-    plain, unstructured = ~kind.isin("table", "formula", "wiring", "code"), ~kind.isin("table", "formula", "code")
+def quality_flags(line: Column) -> Column:
+    """Flags of a classified line, in fixed order."""
+    plain, unstructured = ~line.kind.isin("table", "formula", "wiring", "code"), ~line.kind.isin("table", "formula", "code")
     rules = {
-        "dot_leader": share(text, ".") > 0.25,
-        "low_alpha": (alpha < 0.18) & plain,
-        "symbol_heavy": (share(text, r"^\p{L}\p{N}\s") > 0.45) & plain,
-        "numeric_heavy": (digits > 0.45) & (alpha < 0.25) & unstructured,
-        "too_short": n_tokens < MIN_TOKENS,
-        "repeated_dots": text.rlike(r"\.{8,}"),
+        "dot_leader": line.dots > 0.25,
+        "low_alpha": (line.alpha < 0.18) & plain,
+        "symbol_heavy": (line.marks > 0.45) & plain,
+        "numeric_heavy": (line.digits > 0.45) & (line.alpha < 0.25) & unstructured,
+        "too_short": line.n_tokens < MIN_TOKENS,
+        "repeated_dots": line.s.rlike(r"\.{8,}"),
     }
-    return F.when(text == "", F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules.items()))))
+    return F.when(line.s == "", F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules.items()))))
 
 
+# What a flag costs.
 PENALTIES = {"dot_leader": 0.55, "low_alpha": 0.35, "symbol_heavy": 0.35, "numeric_heavy": 0.55, "too_short": 0.4, "repeated_dots": 0.45}
 
 

@@ -7,6 +7,7 @@ import os
 from decimal import Decimal
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,27 +134,60 @@ def test_upsert_rules_with_nulls_and_empty_values(spark):
     assert sorted(tuple(r) for r in R.merge_rows(old, new, "k", rules).collect()) == [(1, None, "b", "c", "d", 5, 1), (2, "y", "y", "y", "y", 4, 2), (3, "z", "z", "z", "z", 6, None)]
 
 
-def test_lines_are_split_to_a_budget_with_an_overlap():
-    from loomline.plans.line_rules import split_to_budget
-
-    assert list(split_to_budget([3, 3, 3, 3], 6, 0)) == [(0, 2), (2, 4)]
-    assert list(split_to_budget([3, 3, 3, 3], 6, 2)) == [(0, 2), (1, 3), (2, 4)]
-    assert list(split_to_budget([9, 1], 6, 0)) == [(0, 1), (1, 2)] and list(split_to_budget([], 6, 2)) == []
-
-
-def test_chunks_keep_sections_and_kinds_apart():
-    from loomline.plans.line_rules import chunked
-
-    row = lambda text, kind="paragraph", heading=False: {"text": text, "kind": kind, "heading": heading, "n_tokens": len(text.split())}
-    rows = [row("Overview", heading=True), row("a b c"), row(""), row("d e", "list"), row("1 2 table", "table"), row("Notes", heading=True), row("f"), row("g " * 9), row("h " * 9)]
-    assert list(chunked(rows, 12, 0)) == [("Overview", "paragraph", [1, -1, 3]), ("Overview", "table", [4]), ("Notes", "paragraph", [6, 7]), ("Notes", "paragraph", [8])]
+def plain_chunks(codes, kinds, tokens, budget, overlap):
+    """The rule of chunks, line by line, over lists of line numbers."""
+    blocks, section, ended = [], -1, True
+    for i, code in enumerate(codes):
+        if code:
+            section, ended = i if code == 2 else section, True
+        elif ended or (kinds[i] >= 0 and kinds[i] != kinds[blocks[-1][1][0]]):
+            blocks.append((section, [i]))
+            ended = False
+        else:
+            blocks[-1][1].append(i)
+    total, out, held = lambda lines: sum(tokens[i] for i in lines if i >= 0), [], None
+    for section, lines in [*blocks, (None, None)]:
+        small = lines is not None and kinds[lines[0]] < 0 and total(lines) < budget
+        if small and (held is None or (held[0] == section and total(held[1] + lines) <= budget)):
+            held = (section, held[1] + [-1] + lines if held else lines)
+            continue
+        if held:
+            out.append((held[0], held[1][0], held[1]))
+        held, at = None, 0
+        while lines and at < len(lines):
+            end = next((e for e in range(len(lines), at + 1, -1) if total(lines[at:e]) <= budget), at + 1)
+            out.append((section, lines[0], lines[at:end]))
+            back = next((k for k in range(end - 1, at, -1) if total(lines[k:end]) >= overlap), at) if overlap else end
+            at = len(lines) if end == len(lines) else max(at + 1, back)
+    return out
+
+
+def test_chunk_bounds_equal_a_plain_loop():
+    from loomline.plans.line_rules import chunk_bounds
+
+    rng = np.random.default_rng(11)
+    for case in range(400):
+        n = int(rng.integers(0, 40))
+        codes, kinds, tokens = rng.choice([0, 0, 0, 0, 1, 2], n), rng.choice([-1, -1, -1, 0, 1], n), rng.integers(1, 12, n)
+        budget, overlap = int(rng.integers(1, 40)), int(rng.integers(0, 12))
+        got = chunk_bounds(budget, overlap)(codes, kinds, tokens)
+        assert [(a, b, list(c)) for a, b, c in got] == plain_chunks(codes.tolist(), kinds.tolist(), tokens.tolist(), budget, overlap), case
+
+
+def test_chunks_keep_sections_and_kinds_apart(spark):
+    from loomline.plans.line_rules import chunks
+
+    text = "\n\n".join(["Overview", "a b c", "- d e", "Table: 12 34 max", "Notes", "f\n" + "g " * 9 + "\n" + "h " * 9, "i j\r\n\r\n\r\nk"])
+    docs = spark.createDataFrame([(1, text), (2, None), (3, " \n "), (4, "Notes")], "doc_id long, text string")
+    got = [(r.doc_id, r.chunk, r.section, r.kind, r.text, r.n_tokens) for r in chunks(docs, 12, 0).orderBy("doc_id", "chunk").collect()]
+    assert got == [(1, 0, "Overview", "paragraph", "a b c\n\n- d e", 6), (1, 1, "Overview", "table", "Table: 12 34 max", 5), (1, 2, "Notes", "paragraph", "f\n" + " ".join("g" * 9), 10), (1, 3, "Notes", "paragraph", " ".join("h" * 9), 9), (1, 4, "Notes", "paragraph", "i j\n\nk", 3)]
 
 
 def test_document_chunks_hold_every_kept_line(spark):
     from loomline.functions import lines as L
 
     docs = table(spark, DATA, "documents")
-    lines_of = {r.doc_id: r.l for r in docs.select("doc_id", F.filter(F.split(L.normalized(F.col("text")), "\n"), lambda x: (x != "") & ~L.heading(x)).alias("l")).collect()}
+    lines_of = {r.doc_id: r.l for r in docs.select("doc_id", F.filter(F.split(L.normalized(F.col("text")), "\n"), lambda x: (x != "") & ~L.classified(x).heading).alias("l")).collect()}
     got = {}
     for r in registry.QUERIES["document_chunks"](spark, DATA).orderBy("doc_id", "chunk").collect():
         got.setdefault(r.doc_id, set()).update(r.text.split("\n"))
