@@ -23,10 +23,15 @@ def bucket(ts: str, seconds: int) -> Column:
     return F.timestamp_seconds(F.floor(at / seconds) * seconds).cast("timestamp_ntz")
 
 
-def fingerprint(rows: DataFrame, order: str, *fields: str) -> DataFrame:
-    """SHA-256 over all rows' fields in order. Digests of the rows are gathered, not the rows."""
-    row = F.sha2(F.concat_ws("|", *(F.col(f).cast("string") for f in fields)), 256)
-    return rows.groupBy((F.col(order) % 64).alias("part")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))), lambda x: x.r), "\n"), 256).alias("digest"))
+def fingerprint(rows: DataFrame, order: str, *fields: str, width: int = 1024, levels: int = 3) -> DataFrame:
+    """(parts, digest): one SHA-256 over all rows' fields in order, as a tree: digests of rows meet by range of the order, `width`
+    of them in a group, level by level, and the last level's parts (one for width ** levels of the order) give the whole. Of no
+    rows, the digest is that of an empty text. Rows of equal order are sorted by digest; they share a group."""
+    level = rows.select(F.col(order).cast("long").alias("o"), F.sha2(F.concat_ws("|", *(F.col(f).cast("string") for f in fields)), 256).alias("r"))
+    joined = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "r"))), lambda x: x.r), "\n"), 256).alias("r")
+    for _ in range(levels):
+        level = level.groupBy(F.expr(f"o div {width}").alias("up")).agg(joined).select(F.col("up").alias("o"), "r")
+    return level.agg(F.count("*").alias("parts"), joined.alias("digest"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, mark: str) -> DataFrame:

@@ -33,3 +33,24 @@ def allocate(rows: DataFrame, bucket: list[str], order: str, total: str, weight:
 def placed(rows: DataFrame, order: list[Column], place: str) -> DataFrame:
     """rows, of which there are few (a page, a top-k or groups), with their place in an order over all of them."""
     return rows.withColumn(place, F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def ordinals(rows: DataFrame, key: str, ts: str, tie: str, column: str = "ordinal", bucket: str = "HOUR") -> DataFrame:
+    """rows with their place in their key's order of (ts, tie), from 0. Each hour is ranked by itself, and the hours' sizes are
+    summed, so that no task holds all rows of a key."""
+    rows = rows.withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
+    sizes = rows.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col(key).alias("_key"), F.col("_bucket").alias("_at"), (F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    placed = rows.join(before, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_at")))
+    rank = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(ts, tie))
+    return placed.withColumn(column, F.col("_before") + rank - 1).drop("_bucket", "_key", "_at", "_before")
+
+
+def moving(rows: DataFrame, key: str, ts: str, tie: str, width: int, block: int = 10_000, **aggregates: Column) -> DataFrame:
+    """rows with aggregates over themselves and the width - 1 rows before, in their key's order of (ts, tie). A window sees a
+    block of rows and the width - 1 before it, which are in two blocks; a null ts comes first."""
+    placed = ordinals(rows, key, ts, tie, "_o").withColumn("_b", F.floor(F.col("_o") / block))
+    again = F.col("_o") % block > block - width
+    both = placed.withColumn("_at", F.explode(F.when(again, F.array("_b", F.col("_b") + 1)).otherwise(F.array("_b"))))
+    w = Window.partitionBy(key, "_at").orderBy("_o").rowsBetween(1 - width, 0)
+    return both.select("*", *(c.over(w).alias(n) for n, c in aggregates.items())).where("_b = _at").drop("_o", "_b", "_at")

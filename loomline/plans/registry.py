@@ -76,7 +76,10 @@ def resource_buckets(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(R.bucket("ts", 900).alias("bucket")).agg(F.max("value").alias("peak"), F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id % 64 AS part, sha256(string_agg(sha256(concat_ws('|', doc_id, source, n_chars)), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1""")
+_LEVELS = ", ".join(f"l{i} AS (SELECT o // 1024 AS o, sha256(string_agg(r, chr(10) ORDER BY o, r)) AS r FROM l{i - 1} GROUP BY o // 1024)" for i in range(1, 4))
+
+
+@query(f"""WITH l0 AS (SELECT doc_id AS o, sha256(concat_ws('|', doc_id, source, n_chars)) AS r FROM documents), {_LEVELS} SELECT count(*) AS parts, sha256(coalesce(string_agg(r, chr(10) ORDER BY o, r), '')) AS digest FROM l3""")
 def catalog_fingerprint(spark, sf_dir):
     return R.fingerprint(table(spark, sf_dir, "documents"), "doc_id", "doc_id", "source", "n_chars")
 
@@ -105,10 +108,10 @@ def cache_evictions(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w)).where("n > 3").select("user_id", "event_id", "event_type")
 
 
-@query("SELECT event_id, CAST(sum(CAST(value AS DECIMAL(14,4))) OVER w AS DOUBLE) AS total, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+@query("SELECT event_id, CAST(sum(CAST(value AS DECIMAL(14,4))) OVER w AS DOUBLE) AS total, count(*) OVER w AS n, round(CAST(sum(CAST(value AS DECIMAL(14,4))) OVER w AS DOUBLE) / count(*) OVER w, 6) AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
 def moving_average(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.sum(F.col("value").cast("decimal(14,4)")).over(w).cast("double").alias("total"), F.count("*").over(w).alias("n"))
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.col("value").cast("decimal(14,4)").alias("value"))
+    return W.moving(rows, "event_type", "ts", "event_id", 100, total=F.sum("value"), n=F.count("*")).select("event_id", F.col("total").cast("double").alias("total"), "n", F.round(F.col("total").cast("double") / F.col("n"), 6).alias("mean"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
@@ -149,12 +152,13 @@ def catalog_counts(spark, sf_dir):
     return counts.withColumn("vectors", F.lit(table(spark, sf_dir, "embeddings").count()))
 
 
-@query("""WITH o AS (SELECT doc_id, n_chars AS m FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN n_chars + 1 ELSE n_chars END AS m FROM documents WHERE doc_id % 5 <> 0)
+@query("""WITH l AS (SELECT d.doc_id, n_chars, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id)), o AS (SELECT doc_id, n_chars AS m FROM l WHERE toxic IS DISTINCT FROM 1), n AS (SELECT doc_id, n_chars + 1 - quality AS m FROM l WHERE quality IS NOT NULL)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN o.m IS NOT DISTINCT FROM n.m THEN 'unchanged' ELSE 'modified' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def manifest_diff(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    newer = docs.where("doc_id % 5 <> 0").withColumn("n_chars", F.when(F.col("doc_id") % 11 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
-    return R.snapshot_diff(docs.where("doc_id % 7 <> 0"), newer, "doc_id", "n_chars")
+    """From documents that are not toxic to labelled ones, whose size differs where their quality is low; each document is in one or both."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    newer = docs.where("quality IS NOT NULL").select("doc_id", (F.col("n_chars") + 1 - F.col("quality")).alias("n_chars"))
+    return R.snapshot_diff(docs.where("toxic IS DISTINCT FROM 1").select("doc_id", "n_chars"), newer, "doc_id", "n_chars")
 
 
 @query("""SELECT doc_id, CASE WHEN quality = 0 THEN lang ELSE coalesce('new', lang) END AS lang, source FROM (SELECT d.doc_id, d.lang, d.source, l.quality FROM documents d JOIN labels l USING (doc_id))
@@ -188,8 +192,8 @@ SELECT doc_id, count(DISTINCT term) AS n_terms, count(*) AS n_hits FROM words JO
 def term_matches(spark, sf_dir):
     terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("term")).distinct()
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("term"))
-    counted = words.groupBy("doc_id", "term").agg(F.count("*").alias("n"))  # fewer rows before the join
-    return counted.join(terms, "term").groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n_hits"))
+    found = words.join(terms, "term").groupBy("doc_id", "term").agg(F.count("*").alias("n"))  # the few known terms first
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n_hits"))
 
 
 _DISTANCE = "round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))), 6)"

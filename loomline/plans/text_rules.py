@@ -103,10 +103,10 @@ def term_examples(spark, sf_dir):
     return words.groupBy("term").agg(F.count("*").alias("n")).join(few, "term")
 
 
-@query("""WITH q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS term FROM conversations), d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS term FROM documents)
+@query(r"""WITH q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}-]{2,}')) AS term FROM conversations), d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}-]{2,}')) AS term FROM documents)
 SELECT term, doc_id FROM (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS i FROM d JOIN q USING (term)) WHERE i <= 3""")
 def question_documents(spark, sf_dir):
-    terms = lambda df, *keys: df.select(*keys, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("term")).distinct()
+    terms = lambda df, *keys: df.select(*keys, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}-]{2,}"), F.lit(0))).alias("term")).distinct()
     met = terms(table(spark, sf_dir, "documents"), "doc_id").join(terms(table(spark, sf_dir, "conversations")), "term", "left_semi")
     return W.first_of(met, ["term"], [F.asc("doc_id")], 3).select("term", "doc_id")
 
