@@ -1,10 +1,13 @@
 """Preparation of a training corpus: five stages, each written as Parquet and read again as the next one's documents.
 
-Each stage fits what it learns on its own input. Stages but the last return the columns of documents.
+Each stage fits what it learns on its own input. Stages but the last return the columns of documents, whatever their
+names and order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,30 +22,38 @@ LANGUAGE_CUT = 0.5
 ORACLE_SQL = None
 
 
+def _apart(docs: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that run keeps, with the columns of docs as they were: extra ones go through it under names of their own, which no
+    operator's columns can meet."""
+    inner = [c if c in ("doc_id", "text", "n_chars") else f"input__{i}" for i, c in enumerate(docs.columns)]
+    return run(docs.toDF(*inner)).select(*(F.col(a).alias(b) for a, b in zip(inner, docs.columns, strict=True)))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier accepts."""
     ship_package(spark)
     model = quality_mil.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_mil.score(spark, docs, model, "_score").where(F.col("_score") >= QUALITY_CUT).drop("_score")
+    return _apart(docs, lambda d: quality_mil.score(spark, d, model, "_score").where(F.col("_score") >= QUALITY_CUT))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language."""
     ship_package(spark)
-    scored = language_nb.predict(spark, docs, language_nb.fit(docs), "_lang", "_score")
-    return scored.where((F.col("_lang") != "und") & (F.col("_score") >= LANGUAGE_CUT)).drop("_lang", "_score")
+    model = language_nb.fit(docs)
+    return _apart(docs, lambda d: language_nb.predict(spark, d, model, "_lang", "_score").where((F.col("_lang") != "und") & (F.col("_score") >= LANGUAGE_CUT)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies; rows without an id, or with the same, count each."""
     ship_package(spark)
-    return lsh_forest.distinct_documents(spark, docs, width=5, percent=80)
+    return _apart(docs, lambda d: lsh_forest.distinct_documents(spark, d, width=5, percent=80))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents, with their secrets replaced by a mark."""
     ship_package(spark)
-    return secret_scan.redact(secret_scan.scan(spark, docs, secret_scan.fit(docs)))
+    model = secret_scan.fit(docs)
+    return _apart(docs, lambda d: secret_scan.redact(secret_scan.scan(spark, d, model)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -460,13 +460,16 @@ def test_pipeline(spark):
 def test_stages_with_odd_rows(spark, odd, none, stage):
     """Nulls, empty and long texts, repeated rows, clashing columns and empty tables: every stage but the last returns the
     columns of its input, and near duplicates, secrets and packing account for every row."""
+    own = {"_row": "mine", "_lang": "yours", "_score": "theirs", "secret_spans": "ours", "a b.c": "dotted", "input__0": "other"}
     for df in (odd, none):
+        df = df.withColumns({c: F.lit(v) for c, v in own.items()})
         rows = stage(spark, df.withColumn("lang", F.lit("en")), DATA)
         got = rows.collect()
         if stage is corpus_pipeline.pack:
             assert {r.doc_id for r in got} == {r.doc_id for r in df.collect()}
         else:
             assert rows.columns == [*df.columns, "lang"] and len(got) <= df.count()
+            assert all(r[c] == v for r in got for c, v in own.items())
         if stage is corpus_pipeline.secrets:
             assert len(got) == df.count()
 
