@@ -26,9 +26,9 @@ _ODD = re.compile("[\x00\t\x0b\x0c\r\x85\xa0]|[^\x00-ɏ]")
 
 
 @cache
-def encoder(path: str) -> WordEncoder:
-    """One for each file in each worker."""
-    return WordEncoder(path)
+def encoder(path: str, max_words: int = MAX_WORDS) -> WordEncoder:
+    """One for each file and size of tables in each worker."""
+    return WordEncoder(path, max_words)
 
 
 class UnevenError(Exception):
@@ -43,7 +43,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_words: int = MAX_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -51,6 +51,7 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.max_words = max_words
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -71,7 +72,7 @@ class WordEncoder:
             for w in set(cut).difference(known):
                 known[w] = old.get(w) or ids(w)
             out = b"".join(map(known.__getitem__, cut))
-            if len(known) > MAX_WORDS:
+            if len(known) > self.max_words:
                 self.words, self.old = {}, known
             return out
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from loomline.llm.bpe import encoder
+from loomline.llm.bpe import MAX_WORDS, encoder
 from loomline.llm.shared import lean
 from loomline.llm.token_orc import ids_array
 
@@ -115,8 +115,8 @@ def pack(sizes: list[int], length: int = LENGTH) -> list[list[tuple[int, int, in
     return windows
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """All pieces with their ids, and where they lie."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS, max_words: int = MAX_WORDS) -> DataFrame:
+    """All pieces with their ids, and where they lie. max_words bounds the words that a worker remembers (about 200 bytes each)."""
     end = int(end_id).to_bytes(4, "little")
 
     def packed(ids: list[int], raw: list[bytes], first: int):
@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, b
         return len(windows)
 
     def run(batches):
-        encode, next_id = encoder(tokenizer).encode, TaskContext.get().partitionId() << 36
+        encode, next_id = encoder(tokenizer, max_words).encode, TaskContext.get().partitionId() << 36
         ids, raw, held = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):

@@ -79,7 +79,7 @@ def op9_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return packing.digest(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(BPE_FILE), end_id=0))
+    return packing.digest(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(BPE_FILE), end_id=0, max_words=700_000))
 
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
