@@ -72,3 +72,15 @@ def first_key_hit(needs: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """(key, hit, pos): each row's first of several keys that the index (key, hit) holds."""
     each = needs.select(F.col(key).alias("_row"), F.posexplode("keys").alias("pos", "key"))
     return each.join(index, "key").groupBy("_row").agg(F.min_by("hit", "pos").alias("hit"), F.min("pos").alias("pos")).withColumnRenamed("_row", key)
+
+
+def kept_by_share(rows: DataFrame, key: str, group: str, size: str, share: float = 0.75) -> DataFrame:
+    """rows with `rate` and `kept`: a group (a null one too) is kept at share * largest / own size, 1 at most, so that large groups
+    lose rows. A row is kept by a hash of its key, so in any run and partitioning the same rows stay; a null key is kept where the
+    rate is 1 alone. A group without size is kept whole."""
+    sums = rows.groupBy(F.col(group).alias("_group")).agg(F.sum(size).alias("_sum"))
+    rate = F.when(F.col("_sum") > 0, F.least(F.lit(1.0), share * (F.col("_most") / F.col("_sum")))).otherwise(1.0)
+    rates = sums.crossJoin(F.broadcast(sums.agg(F.max("_sum").alias("_most")))).select("_group", rate.alias("rate"))  # the one row of the largest
+    draw = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("double") / 4294967296
+    kept = F.coalesce(draw < F.col("rate"), F.col("rate") >= 1)
+    return rows.join(rates, F.col(group).eqNullSafe(F.col("_group"))).drop("_group").withColumn("kept", kept)

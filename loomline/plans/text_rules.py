@@ -123,3 +123,12 @@ def upsert_rules(spark, sf_dir):
 def login_lockouts(spark, sf_dir):
     failed = F.count_if(F.col("event_type") == "error")
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), failed.alias("failures"), (failed >= 3).alias("disabled"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')), 0) AS n FROM documents), s AS (SELECT source, sum(n)::DOUBLE AS total FROM t GROUP BY source),
+r AS (SELECT source, CASE WHEN total > 0 THEN least(1.0::DOUBLE, 0.75::DOUBLE * ((SELECT max(total) FROM s) / total)) ELSE 1.0::DOUBLE END AS rate FROM s)
+SELECT doc_id, t.source, round(rate, 9) AS rate, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296::DOUBLE < rate AS kept FROM t JOIN r ON t.source IS NOT DISTINCT FROM r.source""")
+def source_balance(spark, sf_dir):
+    """Which documents a sample weighted against large sources keeps."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(C.n_tokens("text"), F.lit(0)).alias("n"))
+    return R.kept_by_share(rows, "doc_id", "source", "n").select("doc_id", "source", F.round("rate", 9).alias("rate"), "kept")

@@ -192,3 +192,14 @@ def test_document_chunks_hold_every_kept_line(spark):
     for r in registry.QUERIES["document_chunks"](spark, DATA).orderBy("doc_id", "chunk").collect():
         got.setdefault(r.doc_id, set()).update(r.text.split("\n"))
     assert all(set(v) <= got.get(k, set()) for k, v in lines_of.items() if v)
+
+
+def test_sample_by_share_keeps_the_same_rows_anywhere(spark):
+    rows = [(i, "large", 10) for i in range(3000)] + [(i, "small", 10) for i in range(3000, 3500)] + [(9000, None, 0), (None, "large", 0), (None, "small", 0)]
+    frame = spark.createDataFrame(rows, "id long, source string, n long")
+    got = [{(r.id, r.source, r.rate, r.kept) for r in R.kept_by_share(frame.repartition(k), "id", "source", "n").collect()} for k in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert {(s, rate) for _, s, rate, _ in got[0]} == {("large", 0.75), ("small", 1.0), (None, 1.0)}
+    assert abs(sum(k for _, s, _, k in got[0] if s == "large") - 2250) < 100 and all(k for _, s, _, k in got[0] if s != "large")
+    assert (None, "large", 0.75, False) in got[0]
+    assert R.kept_by_share(frame.where("id < 0"), "id", "source", "n").count() == 0
