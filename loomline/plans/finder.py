@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.functions import lines as L
+from loomline.operators import substrings as S
 from loomline.operators import windows as W
+from loomline.plans.line_rules import _FLAGS, _SCORE, _TOKENS, _type
 from loomline.plans.registry import query
 from loomline.sources.tables import table
 
@@ -33,6 +36,16 @@ CAPACITOR = r"\b[0-9]+(?:\.[0-9]+)?\s*(?:pf|nf|uf|µf|mf|farads?)\b"
 BUILD = r"\b(?:build|make|construct|assemble|breadboard|wire|connect|solder|test|try|experiment|project)\b"
 CIRCUIT = r"\b(?:circuit|schematic|diagram|parts?\s+list|component|pin|resistor|capacitor|transistor|timer|led|arduino|raspberry\s*pi|gpio)\b"
 BOILERPLATE = r"\b(?:copyright|all\s+rights\s+reserved|editorial|publisher|isbn|website|email)\b"
+CODE = r"\b(setup|loop|pinmode|digitalwrite|analogread|#include|import\s+board)\b"
+# Families of parts, by pattern, with the keys that each of them answers to.
+FAMILIES = [
+    (r"\b(?:ne|lm)?555\b|\b555 timer\b", ["555", "555 timer", "ne555", "lm555", "ne555 timer", "lm555 timer"]),
+    (r"\bleds?\b|light emitting diode", ["led", "leds", "light emitting diode"]),
+    (r"\bpower supply\b|\bbattery\b", ["power supply", "battery", "bench supply"]),
+    ("breadboard", ["breadboard"]),
+    ("jumper", ["jumper wires", "jumpers"]),
+]
+GENERIC = ["resistor", "capacitor"]
 MAX_TERMS, MAX_CHUNKS, MIN_CHARS = 300, 5000, 90
 
 
@@ -42,6 +55,23 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
 
 
+def lookup_keys(name: Column, kind: Column) -> Column:
+    """The keys under which a part is kept and sought: its plain name, that name without blanks, and those of its families, which a
+    part's kind can belong to as well. No name and no kind have no keys."""
+
+    def keys(text: Column) -> Column:
+        both = F.concat_ws(" ", text, plain(F.coalesce(kind, F.lit(""))))
+        families = [F.when(both.rlike(pattern), F.array(*map(F.lit, known))).otherwise(F.array().cast("array<string>")) for pattern, known in FAMILIES]
+        return F.array_distinct(F.filter(F.concat(F.array(text, F.replace(text, F.lit(" "), F.lit(""))), *families), lambda k: k != ""))
+
+    return L.let(plain(F.coalesce(name, F.lit(""))), keys)
+
+
+def in_stock(part: Column, index: Column) -> Column:
+    """Whether the inventory's keys (index) hold one of a part's (name, kind), or stock of its whole kind, for resistors and capacitors."""
+    return F.arrays_overlap(lookup_keys(part["name"], part["kind"]), index) | (part["kind"].isin(GENERIC) & F.array_contains(index, part["kind"]))
+
+
 def terms(spark, sf_dir) -> DataFrame:
     """(place, term): the first MAX_TERMS distinct terms of two letters or more, in the order they appear."""
     words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(plain(F.col("text")), " ")).alias("pos", "term")).where("length(term) >= 2")
@@ -50,14 +80,21 @@ def terms(spark, sf_dir) -> DataFrame:
 
 
 def matches(spark, sf_dir) -> DataFrame:
-    """(doc_id, source, text, matched): the terms of each document, in the order of the terms; documents without any are
-    left out. The terms are at most MAX_TERMS, one array that is broadcast."""
+    """(doc_id, source, text, matched, index): the terms of each document, in the order of the terms; documents without any are
+    left out. The terms are at most MAX_TERMS, one row that is broadcast with all keys of the inventory."""
     array = terms(spark, sf_dir).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("terms"))
+    array = array.withColumn("index", F.array_distinct(F.flatten(F.transform("terms", lambda t: lookup_keys(t, F.lit(""))))))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.split(plain(F.coalesce("text", F.lit(""))), " ").alias("words"))
-    met = docs.crossJoin(F.broadcast(array)).select("doc_id", "source", "text", F.array_intersect("terms", "words").alias("matched"))
+    met = docs.crossJoin(F.broadcast(array)).select("doc_id", "source", "text", F.array_intersect("terms", "words").alias("matched"), "index")
     return met.where(F.size("matched") > 0)
 
 
+def _keys(x: str, kind: str) -> str:
+    plain = _PLAIN.format(x)
+    known = ", ".join(f"CASE WHEN regexp_matches({plain} || ' ' || {kind}, '{p}') THEN {k} ELSE [] END" for p, k in FAMILIES)
+    return f"list_filter(flatten([[{plain}, replace({plain}, ' ', '')], {known}]), lambda k: k <> '')"
+
+
 _PLAIN = "trim(regexp_replace(lower(replace(replace(replace({}, 'µ', 'u'), 'Ω', 'ohm'), 'ω', 'ohm')), '[^a-z0-9]+', ' ', 'g'))"
 _TERMS = f"""bw AS (SELECT item_id, unnest(l) AS term, generate_subscripts(l, 1) AS pos FROM (SELECT item_id, string_split({_PLAIN.format('text')}, ' ') AS l FROM benchmark)),
 terms AS (SELECT term, row_number() OVER (ORDER BY a, term) AS place FROM (SELECT term, min({{'i': item_id, 'p': pos}}) AS a FROM bw WHERE length(term) >= 2 GROUP BY term) ORDER BY place LIMIT {MAX_TERMS})"""
@@ -75,12 +112,22 @@ def finder_matches(spark, sf_dir):
     return matches(spark, sf_dir).select("doc_id", F.size("matched").cast("long").alias("n_matched"), F.array_join("matched", " ").alias("matched"))
 
 
-@query(f"WITH {_MATCHES} SELECT doc_id, CAST(row_number() OVER (ORDER BY len(matched) DESC, n_chars DESC, source DESC, doc_id) AS BIGINT) AS place FROM matches JOIN documents USING (doc_id) ORDER BY place LIMIT {MAX_CHUNKS}")
+_SQUEEZED = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
+_QUALITY = f"""{_MATCHES}, f0 AS (SELECT doc_id, source, matched, {_SQUEEZED} AS s FROM matches JOIN documents USING (doc_id)), f1 AS (SELECT *, {_type('s')} AS kind, {_TOKENS} AS n_tokens FROM f0),
+f2 AS (SELECT *, {_FLAGS} AS flags FROM f1), scored AS (SELECT *, {_SCORE} AS quality FROM f2)"""
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    """Matches with the squeezed text and its quality as one chunk."""
+    rows = matches(spark, sf_dir).withColumn("c", L.let(L.squeezed(F.coalesce("text", F.lit(""))), L.classified))
+    return rows.select("doc_id", "source", "matched", "index", F.col("c.s").alias("text"), F.col("c.low").alias("low"), L.quality_score(L.quality_flags(F.col("c"))).alias("quality"))
+
+
+@query(f"WITH {_QUALITY} SELECT doc_id, CAST(row_number() OVER (ORDER BY len(matched) DESC, quality DESC, source DESC, doc_id) AS BIGINT) AS place FROM scored ORDER BY place LIMIT {MAX_CHUNKS}")
 def finder_ranked(spark, sf_dir):
-    """The best MAX_CHUNKS candidates: most matches, then longest, then source descending."""
-    size = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    order = [F.desc("n"), F.desc("n_chars"), F.desc("source"), F.asc("doc_id")]
-    top = matches(spark, sf_dir).select("doc_id", "source", F.size("matched").alias("n")).join(size, "doc_id").orderBy(*order).limit(MAX_CHUNKS)
+    """The best MAX_CHUNKS candidates: most matches, then quality, then source descending."""
+    order = [F.desc("n"), F.desc("quality"), F.desc("source"), F.asc("doc_id")]
+    top = scored(spark, sf_dir).select("doc_id", "source", "quality", F.size("matched").alias("n")).orderBy(*order).limit(MAX_CHUNKS)
     return W.placed(top, order, "place").select("doc_id", "place")
 
 
@@ -91,44 +138,52 @@ def values(text: Column, pattern: str, kind: str) -> Column:
     return F.transform(named, lambda v: F.struct(F.when(F.contains(F.lower(v), F.lit(kind)), v).otherwise(F.concat(v, F.lit(f" {kind}"))).alias("name"), F.lit(kind).alias("kind")))
 
 
-def required_parts(text: Column) -> Column:
-    """Parts that a text asks for: fixed patterns in order, then resistor and capacitor values; equal names once."""
-    low = F.lower(text)
+def required_parts(text: Column, low: Column) -> Column:
+    """Parts that a text (low: in lower case) asks for: fixed patterns in order, then resistor and capacitor values; of equal plain
+    names the first."""
     fixed = F.array_compact(F.array(*(F.when(low.rlike(p), F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"))) for p, name, kind in PARTS)))
-    return F.array_distinct(F.concat(fixed, values(text, RESISTOR, "resistor"), values(low, CAPACITOR, "capacitor")))
+    every = F.concat(fixed, values(text, RESISTOR, "resistor"), values(low, CAPACITOR, "capacitor"))
+    named = lambda all_of: F.struct(all_of.alias("parts"), F.transform(all_of, lambda p: plain(p["name"])).alias("names"))
+    first = lambda x: F.filter(x["parts"], lambda p, i: (F.get(x["names"], i) != "") & (F.array_position(x["names"], F.get(x["names"], i)) == i + 1))
+    return L.let(every, lambda e: L.let(named(e), first))
+
+
+def qualified(rows: DataFrame) -> DataFrame:
+    """rows (text, low, matched, index, quality) with required and missing parts, project_like, reasons, score and buildable. Code in a
+    circuit's text stands for a build action. Texts have no section title here, so no title speaks against them."""
+    rows = rows.withColumn("required", required_parts(F.col("text"), F.col("low")))
+    rows = rows.withColumn("missing", F.slice(F.filter("required", lambda p: ~in_stock(p, F.col("index"))), 1, 8))
+    low, held = F.col("low"), F.size("matched") > 0
+    built, context = low.rlike(BUILD), low.rlike(CIRCUIT)
+    action = built | (low.rlike(CODE) & context & (held | (F.size("required") > 0)))
+    like = action & context & (held | (F.size("required") >= 2))
+    reasons = F.array_compact(F.array(F.when(F.length("text") < MIN_CHARS, "short"), F.when(F.substring(low, 1, 260).rlike(BOILERPLATE) & ~built, "boilerplate")))
+    reasons = F.when(~like & (F.size(reasons) == 0), F.array(F.lit("no build"))).otherwise(reasons)
+    rows = rows.withColumn("project_like", like).withColumn("reasons", reasons)
+    score = 18 * F.size("matched") + 10 * F.col("quality") - 4 * F.size("missing") + F.when(F.col("project_like"), 10).otherwise(0) - 8 * F.size("reasons")
+    return rows.withColumn("score", F.round(score.cast("double"), 2)).withColumn("buildable", (F.size("missing") == 0) & (F.size("matched") > 0))
 
 
 def candidates(spark, sf_dir) -> DataFrame:
-    """Candidates with required, missing and matched parts, rejections and a score. A part is in stock if a word of its
-    plain name is a matched term; resistors and capacitors are covered by any stock of their kind."""
-    squeezed = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
-    rows = matches(spark, sf_dir).select("doc_id", "source", "matched", squeezed.alias("text")).withColumn("required", required_parts(F.col("text")))
-    stock = lambda p: F.size(F.array_intersect(F.split(plain(p["name"]), " "), F.col("matched"))) > 0
-    rows = rows.withColumn("missing", F.slice(F.filter("required", lambda p: ~stock(p)), 1, 8))
-    low = F.lower("text")
-    action, context = low.rlike(BUILD), low.rlike(CIRCUIT)
-    like = action & context
-    reasons = F.array_compact(F.array(F.when(F.length("text") < MIN_CHARS, "short"), F.when(F.substring(low, 1, 260).rlike(BOILERPLATE) & ~action, "boilerplate")))
-    reasons = F.when(~like & (F.size(reasons) == 0), F.array(F.lit("no build"))).otherwise(reasons)
-    rows = rows.withColumn("project_like", like).withColumn("reasons", reasons)
-    score = 18 * F.size("matched") - 4 * F.size("missing") + F.when(F.col("project_like"), 10).otherwise(0) - 8 * F.size("reasons")
-    return rows.withColumn("score", score.cast("long")).withColumn("buildable", F.size("missing") == 0)
+    """Documents with matched terms, qualified and scored."""
+    return qualified(scored(spark, sf_dir))
 
 
 def _values_sql(text: str, pattern: str, kind: str) -> str:
     named = f"trim(regexp_replace(replace(v, 'Ω', ' ohm'), '\\s+', ' ', 'g'))"
-    return f"list_transform(regexp_extract_all({text}, '{pattern}')[1:8], lambda v: CASE WHEN contains(lower({named}), '{kind}') THEN {named} ELSE {named} || ' {kind}' END)"
+    return f"list_transform(regexp_extract_all({text}, '{pattern}')[1:8], lambda v: {{'name': CASE WHEN contains(lower({named}), '{kind}') THEN {named} ELSE {named} || ' {kind}' END, 'kind': '{kind}'}})"
 
 
-_FIXED = ", ".join(f"CASE WHEN regexp_matches(lower(t), '{p}') THEN '{name}' END" for p, name, _ in PARTS)
-_CANDIDATES = f"""{_MATCHES}, c0 AS (SELECT doc_id, source, matched, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM matches JOIN documents USING (doc_id)),
-c1 AS (SELECT *, list_concat(list_filter([{_FIXED}], lambda p: p IS NOT NULL), {_values_sql('t', RESISTOR, 'resistor')}, {_values_sql('lower(t)', CAPACITOR, 'capacitor')}) AS every FROM c0),
-c2 AS (SELECT *, list_filter(every, lambda p, i: list_position(every, p) = i) AS required FROM c1),
-c3 AS (SELECT *, list_filter(required, lambda p: NOT list_has_any(string_split({_PLAIN.format('p')}, ' '), matched))[1:8] AS missing,
-  regexp_matches(lower(t), '{BUILD}') AS action, regexp_matches(lower(t), '{BUILD}') AND regexp_matches(lower(t), '{CIRCUIT}') AS project_like FROM c2),
-c4 AS (SELECT *, list_filter([CASE WHEN length(t) < {MIN_CHARS} THEN 'short' END, CASE WHEN regexp_matches(lower(t)[1:260], '{BOILERPLATE}') AND NOT action THEN 'boilerplate' END], lambda r: r IS NOT NULL) AS r0 FROM c3),
-c5 AS (SELECT *, CASE WHEN NOT project_like AND len(r0) = 0 THEN ['no build'] ELSE r0 END AS reasons FROM c4),
-candidates AS (SELECT *, CAST(18 * len(matched) - 4 * len(missing) + CASE WHEN project_like THEN 10 ELSE 0 END - 8 * len(reasons) AS BIGINT) AS score, len(missing) = 0 AS buildable FROM c5)"""
+_FIXED = ", ".join(f"CASE WHEN regexp_matches(lower(s), '{p}') THEN {{'name': '{name}', 'kind': '{kind}'}} END" for p, name, kind in PARTS)
+_CANDIDATES = f"""{_QUALITY}, inventory AS (SELECT list(DISTINCT k) AS index FROM (SELECT unnest({_keys('term', "''")}) AS k FROM terms)),
+c1 AS (SELECT *, list_concat(list_filter([{_FIXED}], lambda p: p IS NOT NULL), {_values_sql('s', RESISTOR, 'resistor')}, {_values_sql('lower(s)', CAPACITOR, 'capacitor')}) AS every FROM scored),
+c2 AS (SELECT *, list_transform(every, lambda p: {_PLAIN.format('p.name')}) AS names FROM c1),
+c3 AS (SELECT *, list_filter(every, lambda p, i: list_position(names, names[i]) = i) AS needs FROM c2),
+c4 AS (SELECT *, list_transform(needs, lambda p: p.name) AS required, list_transform(list_filter(needs, lambda p: NOT (list_has_any({_keys('p.name', 'p.kind')}, index) OR (p.kind IN ('resistor', 'capacitor') AND list_contains(index, p.kind)))), lambda p: p.name)[1:8] AS missing,
+  regexp_matches(lower(s), '{BUILD}') AS action, (regexp_matches(lower(s), '{BUILD}') OR regexp_matches(lower(s), '{CODE}')) AND regexp_matches(lower(s), '{CIRCUIT}') AS project_like FROM c3, inventory),
+c5 AS (SELECT *, list_filter([CASE WHEN length(s) < {MIN_CHARS} THEN 'short' END, CASE WHEN regexp_matches(lower(s)[1:260], '{BOILERPLATE}') AND NOT action THEN 'boilerplate' END], lambda r: r IS NOT NULL) AS r0 FROM c4),
+c6 AS (SELECT *, CASE WHEN NOT project_like AND len(r0) = 0 THEN ['no build'] ELSE r0 END AS reasons FROM c5),
+candidates AS (SELECT *, round(CAST(18 * len(matched) + 10 * quality - 4 * len(missing) + CASE WHEN project_like THEN 10 ELSE 0 END - 8 * len(reasons) AS DOUBLE), 2) AS score, len(missing) = 0 AS buildable FROM c6)"""
 
 
 @query(f"WITH {_CANDIDATES} SELECT doc_id, array_to_string(required, '; ') AS required, array_to_string(missing, '; ') AS missing, project_like, array_to_string(reasons, '; ') AS reasons, score, buildable FROM candidates")
@@ -149,7 +204,8 @@ def finder_distinct(spark, sf_dir):
 SELECT place, doc_id, score, (SELECT count(*) FROM o) AS total, 48 < (SELECT count(*) FROM o) AS has_more FROM o WHERE place > 24 AND place <= 48""")
 def finder_page(spark, sf_dir):
     """The second page of 24 buildable candidates, with the number of all and whether more follow."""
-    rows = candidates(spark, sf_dir).where("buildable").select("doc_id", "score", F.size("matched").alias("n"))
+    kept = F.when(F.col("buildable"), F.array(F.struct("doc_id", "score", F.size("matched").alias("n"))))  # a filter would be pushed down, and all its rules be applied twice
+    rows = candidates(spark, sf_dir).select(F.explode_outer(kept).alias("r")).where("r IS NOT NULL").select("r.*")
     order = [F.desc("score"), F.desc("n"), F.asc("doc_id")]
     first = W.placed(rows.orderBy(*order).limit(48), order, "place").where("place > 24")
     return first.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total")))).select("place", "doc_id", "score", "total", (F.col("total") > 48).alias("has_more"))
@@ -159,7 +215,29 @@ def finder_page(spark, sf_dir):
 SELECT part, count(*) AS n, list(doc_id ORDER BY i) FILTER (WHERE i <= 3) AS examples FROM r GROUP BY part ORDER BY n DESC, part LIMIT 10""")
 def finder_missing_parts(spark, sf_dir):
     """The ten parts that most candidates miss, with the three best candidates of each."""
-    each = candidates(spark, sf_dir).select("doc_id", "score", F.explode("missing.name").alias("part"))
+    each = candidates(spark, sf_dir).select("doc_id", "score", F.explode_outer("missing.name").alias("part")).where("part IS NOT NULL")  # an inner one would have its filter pushed down
     top = each.groupBy("part").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "part").limit(10)
     few = W.first_of(each.join(F.broadcast(top), "part"), ["part"], [F.desc("score"), F.asc("doc_id")], 3)
     return few.groupBy("part", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id"))), lambda x: x["doc_id"]).alias("examples"))
+
+
+_PHRASES = f"""pw AS (SELECT item_id, string_split({_PLAIN.format("coalesce(text, '')")}, ' ') AS l FROM benchmark), phrases AS (SELECT DISTINCT unnest(list_concat(list_transform(range(1, len(l)), lambda i: array_to_string(l[i:i + 1], ' ')), list_filter(l, lambda x: x <> ''))) AS term FROM pw)"""
+
+
+def phrases(spark, sf_dir) -> DataFrame:
+    """(term): every word and every two words that follow one another in `benchmark`, plain."""
+    words = table(spark, sf_dir, "benchmark").select(F.split(plain(F.coalesce("text", F.lit(""))), " ").alias("l"))
+    pairs = F.zip_with(F.slice("l", 1, F.size("l") - 1), F.slice("l", 2, F.size("l")), lambda a, b: F.concat_ws(" ", a, b))
+    return words.select(F.explode(F.concat(F.col("l"), F.when(F.size("l") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("term")).where("term <> ''").distinct()
+
+
+@query(f"""WITH {_PHRASES}, d AS (SELECT doc_id, {_PLAIN.format("coalesce(text, '')")} AS t, replace({_PLAIN.format("coalesce(text, '')")}, ' ', '') AS c FROM documents),
+hits AS (SELECT doc_id, term FROM d JOIN phrases ON CASE WHEN contains(term, ' ') THEN contains(t, term) ELSE contains(' ' || t || ' ', ' ' || term || ' ') END
+  OR (length(replace(term, ' ', '')) >= 4 AND regexp_matches(term, '[0-9]') AND contains(c, replace(term, ' ', ''))))
+SELECT doc_id, count(*) AS n_matched, sum(length(term)) AS n_chars, min(term) AS first, max(term) AS last FROM hits GROUP BY doc_id""")
+def phrase_mentions(spark, sf_dir):
+    """The inventory's words and phrases that each document mentions: words as whole words, phrases anywhere in the plain text, and
+    those of four characters or more with a digit in the text without blanks too. Terms meet texts by their rarest three
+    characters, so they may be many."""
+    hits = S.mentions(table(spark, sf_dir, "documents").select("doc_id", plain(F.coalesce("text", F.lit(""))).alias("text")), "doc_id", phrases(spark, sf_dir))
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_matched"), F.sum(F.length("term")).alias("n_chars"), F.min("term").alias("first"), F.max("term").alias("last"))
