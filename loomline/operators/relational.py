@@ -84,3 +84,31 @@ def kept_by_share(rows: DataFrame, key: str, group: str, size: str, share: float
     draw = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("double") / 4294967296
     kept = F.coalesce(draw < F.col("rate"), F.col("rate") >= 1)
     return rows.join(rates, F.col(group).eqNullSafe(F.col("_group"))).drop("_group").withColumn("kept", kept)
+
+
+def replace_sources(current: DataFrame, incoming: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, removed): current without the sources that incoming has rows of, and all of incoming; and the rows that went. A null source
+    is one like others. A second run with the same rows changes nothing."""
+    named = incoming.select(F.col(key).alias("_source")).distinct()
+    known = F.col(key).eqNullSafe(F.col("_source"))
+    return current.join(named, known, "left_anti").unionByName(incoming), current.join(named, known, "left_semi")
+
+
+def cascade(children: DataFrame, parents: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, removed): children whose parent is there, or that name none, and those that go with theirs."""
+    named = parents.select(F.col(key).alias("_parent")).distinct()
+    orphans = children.where(F.col(key).isNotNull()).join(named, F.col(key) == F.col("_parent"), "left_anti")
+    held = children.join(named, F.col(key) == F.col("_parent"), "left_semi").unionByName(children.where(F.col(key).isNull()))
+    return held, orphans
+
+
+def set_null(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """children, with null for a parent that is no longer there."""
+    named = parents.select(F.col(key).alias("_parent")).distinct()
+    return children.join(named, F.col(key) == F.col("_parent"), "left").withColumn(key, F.col("_parent")).drop("_parent")
+
+
+def write_sources(rows: DataFrame, path: str, key: str) -> None:
+    """Replace the sources that rows have in a table partitioned by source; files of other sources aren't touched. A source of which no
+    row is left is to be removed as a partition."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
