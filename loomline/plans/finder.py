@@ -237,7 +237,7 @@ hits AS (SELECT doc_id, term FROM d JOIN phrases ON CASE WHEN contains(term, ' '
 SELECT doc_id, count(*) AS n_matched, sum(length(term)) AS n_chars, min(term) AS first, max(term) AS last FROM hits GROUP BY doc_id""")
 def phrase_mentions(spark, sf_dir):
     """The inventory's words and phrases that each document mentions: words as whole words, phrases anywhere in the plain text, and
-    those of four characters or more with a digit in the text without blanks too. Terms meet texts by their rarest three
-    characters, so they may be many."""
+    those of four characters or more with a digit in the text without blanks too. Terms meet texts by a few characters of
+    theirs, so they may be many."""
     hits = S.mentions(table(spark, sf_dir, "documents").select("doc_id", plain(F.coalesce("text", F.lit(""))).alias("text")), "doc_id", phrases(spark, sf_dir))
     return hits.groupBy("doc_id").agg(F.count("*").alias("n_matched"), F.sum(F.length("term")).alias("n_chars"), F.min("term").alias("first"), F.max("term").alias("last"))

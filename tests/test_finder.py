@@ -1,5 +1,6 @@
 """The finder's rules on made texts: families of parts, generic stock, terms inside texts, quality and code."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomline.operators import substrings as S
@@ -48,9 +49,9 @@ def test_code_stands_for_a_build_action(spark):
     assert short["reasons"] == ["short", "boilerplate"] and short["score"] == 18 + 5 - 16
 
 
-def mentioned(spark, texts, terms):
+def mentioned(spark, texts, terms, most_bytes=S.MOST_BYTES):
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", finder.plain(F.col("text")).alias("text"))
-    return {tuple(r) for r in S.mentions(docs, "id", spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    return {tuple(r) for r in S.mentions(docs, "id", spark.createDataFrame([(t,) for t in terms], "term string"), most_bytes).collect()}
 
 
 def test_mentions(spark):
@@ -60,7 +61,8 @@ def test_mentions(spark):
     assert mentioned(spark, texts, []) == set() and mentioned(spark, [], ["led"]) == set()
 
 
-def test_mentions_equal_brute_force(spark):
+@pytest.mark.parametrize("most_bytes", [S.MOST_BYTES, 0])
+def test_mentions_equal_brute_force(spark, most_bytes):
     words = ["a", "ab", "b2", "abc", "bca4", "c", "x9yz"]
     texts = [" ".join(words[(i * 7 + j * j * (i + 3)) % len(words)] for j in range(i % 9)) for i in range(60)]
     terms = sorted({" ".join(t.split()[:n]) for t in texts for n in (1, 2, 3)} - {""}) + ["zz", "b c"]
@@ -69,4 +71,4 @@ def test_mentions_equal_brute_force(spark):
         bare = term.replace(" ", "")
         return (term in text if " " in term else term in text.split()) or (len(bare) >= 4 and any(c.isdigit() for c in bare) and bare in text.replace(" ", ""))
 
-    assert mentioned(spark, texts, terms) == {(i, t) for i, x in enumerate(texts) for t in terms if holds(x, t)}
+    assert mentioned(spark, texts, terms, most_bytes) == {(i, t) for i, x in enumerate(texts) for t in terms if holds(x, t)}
