@@ -10,6 +10,9 @@ MOST_BYTES = 32 << 20
 #: The runs of characters by which terms and texts meet: around a blank, or with a digit. All of them overlap, so they are sought ahead.
 WIDE, NARROW, DIGIT = "(?=([a-z0-9]{2} [a-z0-9]{2}))", "(?=([a-z0-9] [a-z0-9]))", "(?=([0-9]..|.[0-9].|..[0-9]))"
 
+#: Every two words that follow one another.
+PAIRS = "(?=(?<![a-z0-9])([a-z0-9]+ [a-z0-9]+))"
+
 
 def _runs(text: str, pattern: str):
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
@@ -31,17 +34,33 @@ def contained(texts: DataFrame, key: str, terms: DataFrame, pattern: str, small:
     return pairs.join(texts, key).where(F.contains("text", F.col("sought"))).select(key, "term")
 
 
+def in_pairs(texts: DataFrame, key: str, terms: DataFrame, small: bool) -> DataFrame:
+    """(key, term) for plain terms (term) of two words: each is held against pairs of words that share the two characters about the blank,
+    so that no whole text goes along or is searched. A pair of words may repeat a hit."""
+    around = lambda c: F.regexp_extract(c, "[a-z0-9] [a-z0-9]", 0).alias("run")
+    wide = lambda c: F.regexp_extract(c, "[a-z0-9]{2} [a-z0-9]{2}", 0).alias("run")
+    pairs, found = texts.select(key, F.explode(_runs("text", PAIRS)).alias("pair")), None
+    full = F.regexp_like("term", F.lit(WIDE))
+    for run, asked in ((wide, terms.where(full)), (around, terms.where(~full))):
+        side = asked.select("term", run("term"))
+        hits = pairs.select(key, "pair", run("pair")).where("run <> ''").join(F.broadcast(side) if small else side, "run").where(F.contains("pair", F.col("term"))).select(key, "term")
+        found = hits if found is None else found.union(hits)
+    return found
+
+
 def mentions(texts: DataFrame, key: str, terms: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(key, term), each pair once and dealt by key, of plain texts (key, text) and plain terms (term): single words are met as whole
     words, terms of several words anywhere in the text; terms of four characters or more with a digit also in the text without its
     blanks. Null and empty texts and terms meet nothing."""
     terms = terms.where("term <> ''").distinct()
     small = (terms.agg(F.sum(F.octet_length("term"))).first()[0] or 0) <= most_bytes
-    several = terms.where(F.contains("term", F.lit(" "))).select("term", F.col("term").alias("sought"))
+    n_words = F.size(F.split("term", " "))
+    several = terms.where(n_words > 2).select("term", F.col("term").alias("sought"))
     wide = F.regexp_like("sought", F.lit(WIDE))
     single = terms.where(~F.contains("term", F.lit(" ")))
     words = texts.select(key, F.explode(F.array_distinct(F.split("text", " "))).alias("term")).join(F.broadcast(single) if small else single, "term").select(key, "term")
     bare = terms.select("term", F.replace("term", F.lit(" "), F.lit("")).alias("sought")).where((F.length("sought") >= 4) & F.col("sought").rlike("[0-9]"))
     squeezed = texts.select(key, F.replace("text", F.lit(" "), F.lit("")).alias("text"))
+    words = words.union(in_pairs(texts, key, terms.where(n_words == 2), small))
     hits = words.union(contained(texts, key, several.where(wide), WIDE, small)).union(contained(texts, key, several.where(~wide), NARROW, small))
     return hits.union(contained(squeezed, key, bare, DIGIT, small)).repartition(key).distinct()
