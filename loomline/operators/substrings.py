@@ -37,15 +37,11 @@ def contained(texts: DataFrame, key: str, terms: DataFrame, pattern: str, small:
 def in_pairs(texts: DataFrame, key: str, terms: DataFrame, small: bool) -> DataFrame:
     """(key, term) for plain terms (term) of two words: each is held against pairs of words that share the two characters about the blank,
     so that no whole text goes along or is searched. A pair of words may repeat a hit."""
-    around = lambda c: F.regexp_extract(c, "[a-z0-9] [a-z0-9]", 0).alias("run")
-    wide = lambda c: F.regexp_extract(c, "[a-z0-9]{2} [a-z0-9]{2}", 0).alias("run")
-    pairs, found = texts.select(key, F.explode(_runs("text", PAIRS)).alias("pair")), None
-    full = F.regexp_like("term", F.lit(WIDE))
-    for run, asked in ((wide, terms.where(full)), (around, terms.where(~full))):
-        side = asked.select("term", run("term"))
-        hits = pairs.select(key, "pair", run("pair")).where("run <> ''").join(F.broadcast(side) if small else side, "run").where(F.contains("pair", F.col("term"))).select(key, "term")
-        found = hits if found is None else found.union(hits)
-    return found
+    wide, narrow = (lambda c, p=p: F.regexp_extract(c, p, 0) for p in ("[a-z0-9]{2} [a-z0-9]{2}", "[a-z0-9] [a-z0-9]"))
+    asked = terms.select("term", F.coalesce(F.nullif(wide("term"), F.lit("")), narrow("term")).alias("run"))
+    pairs = texts.select(key, F.explode(_runs("text", PAIRS)).alias("pair")).select(key, "pair", F.explode(F.array(wide("pair"), narrow("pair"))).alias("run"))
+    met = pairs.where("run <> ''").join(F.broadcast(asked) if small else asked, "run")
+    return met.where(F.contains("pair", F.col("term"))).select(key, "term")
 
 
 def mentions(texts: DataFrame, key: str, terms: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
