@@ -25,6 +25,8 @@ from loomline.llm.bpe import encoder
 from loomline.llm.shared import lean
 
 SCHEMA = "doc_id long, ids array<int>, part int, part_start long"
+#: Texts encoded together; all that is made of them at once has some ten times as much.
+BLOCK_BYTES = 16 << 20
 
 
 def ids_array(raw: list[bytes]) -> pa.Array:
@@ -33,20 +35,34 @@ def ids_array(raw: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
 
 
+def blocks(batches, most: int):
+    """Consecutive batches as tables of about `most` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe_bytes: int = 64 << 20, index_rows: int = 1_000) -> None:
     """Encode whole texts and write them in doc_id order. Texts are dealt by range of (doc_id, hash of the text), so that
     not even one repeated id meets in one task."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encode, part, before = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # so that ids of a few documents are held at a time
-                cut = batch.slice(at, 256)
-                raw = [encode(t or "") + end for t in cut.column("text").to_pylist()]
-                n = np.array([len(b) // 4 for b in raw], np.int64)
-                yield pa.RecordBatch.from_arrays([cut.column("doc_id"), ids_array(raw), pa.array(np.full(len(raw), part, np.int32)), pa.array(before + np.cumsum(n) - n)], ["doc_id", "ids", "part", "part_start"])
-                before += int(n.sum())
+        encode, part, before = encoder(tokenizer).encode_all, TaskContext.get().partitionId(), 0
+        for block in blocks(batches, BLOCK_BYTES):
+            for batch in block.to_batches():
+                raw = [b + end for b in encode(batch.column("text"))]
+                for at in range(0, len(raw), 256):  # so that a few documents are sent at a time
+                    some = raw[at : at + 256]
+                    n = np.array([len(b) // 4 for b in some], np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 256), ids_array(some), pa.array(np.full(len(some), part, np.int32)), pa.array(before + np.cumsum(n) - n)], ["doc_id", "ids", "part", "part_start"])
+                    before += int(n.sum())
 
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*keys).sortWithinPartitions(*keys)

@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,46 @@ def test_encoder_equals_a_fresh_tokenizer():
         assert np.frombuffer(own.encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids, t
 
 
+def test_blocks_of_texts_equal_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(queries.BPE_FILE)
+    fresh, own = Tokenizer.from_file(path), bpe.WordEncoder(path)
+    special = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    rng = np.random.default_rng(10)
+    chars = np.array([chr(c) for c in range(1, 0x250)])
+    parts = ["a", "B", "word", " the", " ,", "'s", " 's", "don't", "12", "3.5", "à", "ñandú", "Ơ", "!?", "_x", " ", "\n", "\x1c"]
+    rare = ["  ", "\t", "日本", "\r\n", "\u00a0", "\x00", "ÿ", "Ā", *special]
+    texts = [None, "", " ", "\n", "\nfirst", " first", "last ", "last\n", "one", "\x00", *special, *parts, *rare]
+    texts += ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(2_000)]
+    texts += [" ".join("".join(rng.choice(chars, rng.integers(1, 9))) for _ in range(rng.integers(1, 9))) for _ in range(2_000)]
+    texts += ["".join(rng.choice(parts + rare, rng.integers(1, 12))) for _ in range(1_000)]
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in (1, 7, 1_000, len(texts)):
+        for at in range(0, len(texts) if size > 1 else 50, size):
+            got = own.encode_all(pa.array(texts[at : at + size], pa.string()))
+            assert [np.frombuffer(b, "<u4").tolist() for b in got] == want[at : at + size]
+    assert own.encode_all(pa.array([], pa.string())) == []
+    own.between = None  # as with a vocabulary that has no byte to stand between words
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode_all(pa.array(texts, pa.string()))] == want
+
+
+def test_block_meets_a_new_word_once_and_beside_others():
+    own, calls = bpe.WordEncoder(queries.tokenizer_path(queries.BPE_FILE), max_words=100), []
+
+    class Counting:
+        def tokenize(self, word, model=own.model):
+            calls.append(word)
+            return model.tokenize(word)
+
+    own.model = Counting()
+    words = [f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in ("ter", "lon", "mus", "vik", "zop", "dri")] * 20
+    texts = [" ".join(words[at : at + 50]) for at in range(0, len(words), 50)]
+    assert len(own.encode_all(pa.array(texts))) == 120
+    # 300 words, some also without a space before them: more often than the tables hold, each once, in a few calls
+    assert sum(len(c.split("Ā")) - 1 for c in calls) <= 330 and len(calls) <= 4
+
+
 def test_op2_filter_skips_stripes(spark):
     rows = spark.range(0, 40_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of a text"), F.col("id").cast("string")).alias("text"))
     path = Scratch(spark, "t").path("orc")
