@@ -1,10 +1,11 @@
 """The finder's rules on made texts: families of parts, generic stock, terms inside texts, quality and code."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loomline.operators import substrings as S
-from loomline.plans import finder
+from loomline.plans import finder, registry
 
 
 def stock_of(spark, *parts):
@@ -72,3 +73,36 @@ def test_mentions_equal_brute_force(spark, most_bytes):
         return (term in text if " " in term else term in text.split()) or (len(bare) >= 4 and any(c.isdigit() for c in bare) and bare in text.replace(" ", ""))
 
     assert mentioned(spark, texts, terms, most_bytes) == {(i, t) for i, x in enumerate(texts) for t in terms if holds(x, t)}
+
+
+#: Words and values beside accented letters, where an edge of a word is one to SQL.
+EDGES = [
+    "all rights reserved, then öconnect the ätimer on a circuit board, éled and ñrelay to be had, and much more is said about it here",
+    "Parts list of the circuit: test it with ü10 kohm, 220 ohmé and é4.7 ufä beside the transistoré, and nothing more than that one, really",
+    "editorial of the éarduino and the ü555 timerß, for any schematic: ßbreadboard first, then éop ampé and épower supply, and so on, on and on",
+    "ßfigure 7 says nothing", "1 2 3 4 äunit 5 6 7 8 9 10 11 12 13 14", "ç", "",
+]
+
+
+@pytest.fixture(scope="module")
+def edges(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("edges"))
+    texts = [(i, t, "ab"[i % 2]) for i, t in enumerate(EDGES * 12)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, "the and of it 555 timer 10 nothing")], "item_id long, text string").coalesce(1).write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def same_as_sql(spark, path, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    asked = con.execute(registry.ORACLE_SQL[name])
+    columns = [d[0] for d in asked.description]
+    want = asked.fetchall()
+    got = [tuple(r) for r in registry.QUERIES[name](spark, path).select(columns).collect()]
+    assert want and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_edges_of_words_in_candidates(spark, edges):
+    same_as_sql(spark, edges, "finder_candidates")
