@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loomline.functions import lines as L
 from loomline.operators import substrings as S
 from loomline.plans import finder, registry
 
@@ -80,6 +81,7 @@ EDGES = [
     "all rights reserved, then öconnect the ätimer on a circuit board, éled and ñrelay to be had, and much more is said about it here",
     "Parts list of the circuit: test it with ü10 kohm, 220 ohmé and é4.7 ufä beside the transistoré, and nothing more than that one, really",
     "editorial of the éarduino and the ü555 timerß, for any schematic: ßbreadboard first, then éop ampé and épower supply, and so on, on and on",
+    "all rights reserved, and the öwire of a circuit is all there is to it here; the rest is as long as it has to be to count as a text",
     "ßfigure 7 says nothing", "1 2 3 4 äunit 5 6 7 8 9 10 11 12 13 14", "ç", "",
 ]
 
@@ -87,7 +89,7 @@ EDGES = [
 @pytest.fixture(scope="module")
 def edges(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("edges"))
-    texts = [(i, t, "ab"[i % 2]) for i, t in enumerate(EDGES * 12)]
+    texts = [(i, t, "ab"[i % 2]) for i, t in enumerate(EDGES * 30)]
     spark.createDataFrame(texts, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(0, "the and of it 555 timer 10 nothing")], "item_id long, text string").coalesce(1).write.parquet(f"{path}/benchmark.parquet")
     return path
@@ -106,3 +108,21 @@ def same_as_sql(spark, path, name):
 
 def test_edges_of_words_in_candidates(spark, edges):
     same_as_sql(spark, edges, "finder_candidates")
+
+
+def test_a_page_reads_the_texts_once(spark, edges):
+    assert registry.QUERIES["finder_page"](spark, edges)._jdf.queryExecution().sparkPlan().toString().count("documents.parquet") == 1
+
+
+def test_signs_are_in_all_that_a_pattern_finds(spark):
+    said = {finder.CODE: "import board", finder.BUILD: "breadboard", finder.CIRCUIT: "parts list", finder.BOILERPLATE: "all rights reserved"}
+    rows = [(p, said.get(p, name.lower().replace(" or gpio board", "").replace("light", ""))) for p, name in [*((p, n) for p, n, _ in finder.PARTS), *((p, "") for p in said)]]
+    for pattern, text in rows:
+        assert spark.range(1).select(finder.says(F.lit(f"é{text}é"), pattern)).first()[0], pattern
+
+
+@pytest.mark.parametrize("text", ["", ".", "a b c d", "a b c d e", "a.b.c", "....... a ........", "1 2 3 4 5 6 x", "é1é ++ ++ (( ))", "figure 1: 1 2 3 4 5 6 7 8", "unit 1 2 3 4 5 6 7 8 9", "\u000b 1 a b"])
+def test_quality_of_a_text_equals_that_of_a_line(spark, text):
+    of = L.let(L.squeezed(F.lit(text)), L.classified)
+    quality, same = spark.range(1).select(L.text_quality(L.squeezed(F.lit(text))), L.quality_score(L.quality_flags(of))).first()
+    assert quality == same
