@@ -126,3 +126,7 @@ def test_quality_of_a_text_equals_that_of_a_line(spark, text):
     of = L.let(L.squeezed(F.lit(text)), L.classified)
     quality, same = spark.range(1).select(L.text_quality(L.squeezed(F.lit(text))), L.quality_score(L.quality_flags(of))).first()
     assert quality == same
+
+
+def test_edges_of_words_in_distinct_candidates(spark, edges):
+    same_as_sql(spark, edges, "finder_distinct")
