@@ -130,3 +130,7 @@ def test_quality_of_a_text_equals_that_of_a_line(spark, text):
 
 def test_edges_of_words_in_distinct_candidates(spark, edges):
     same_as_sql(spark, edges, "finder_distinct")
+
+
+def test_edges_of_words_in_missing_parts(spark, edges):
+    same_as_sql(spark, edges, "finder_missing_parts")
