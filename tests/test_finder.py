@@ -134,3 +134,7 @@ def test_edges_of_words_in_distinct_candidates(spark, edges):
 
 def test_edges_of_words_in_missing_parts(spark, edges):
     same_as_sql(spark, edges, "finder_missing_parts")
+
+
+def test_edges_of_words_on_a_page(spark, edges):
+    same_as_sql(spark, edges, "finder_page")
