@@ -30,6 +30,7 @@ FAMILIES = [
     ([r"\b128\s*x?\s*32\b|oled.*display|display.*oled"], "128x32 LED/OLED display modules", "display", ["128x32 display", "128 32 display", "128x32 oled", "oled display", "led screen", "i2c display", "spi display", "ssd1306"], "128x32 display modules. Verify interface, voltage, and controller IC."),
 ]
 LED, BARE = 3, 5
+MOST_SENT = 500_000  # rows of a stock that are broadcast
 MODEL_TYPES = {"sensor": "^(BMP|BME|DHT|DS18|MPU)", "ic": "^(ATMEGA|ATTINY|PIC|LM|NE|TL|CD|74)"}
 MODEL_ALIASES = {"^BMP": ["pressure sensor", "barometric pressure sensor", "barometer sensor", "i2c pressure sensor"], "^ADS": ["adc", "analog to digital converter", "i2c adc"]}
 RARE_MODELS = ["BMP250", "BMP150"]
@@ -101,9 +102,20 @@ def matched_items(items: DataFrame, stock: DataFrame) -> DataFrame:
     the stock knows. Of parts with one key, an alias counts before a name, and a later part before an earlier one."""
     keys = stock.select("id", "place", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", _strings([])))).alias("nth", "key"))
     index = keys.groupBy(plain(F.col("key")).alias("key")).agg(F.max_by("id", F.struct(F.col("nth") > 0, "place", "nth")).alias("id"))
-    asked = items.select("doc", "normalized", F.posexplode(F.concat(F.array("normalized"), F.transform("aliases", plain))).alias("nth", "key"))
-    hit = asked.join(index, "key").groupBy("doc", "normalized").agg(F.min_by("id", "nth").alias("existing"))
-    return items.join(hit, ["doc", "normalized"], "left").withColumn("action", F.when(F.col("existing").isNotNull(), "merge").otherwise("create"))
+    asked = F.posexplode(F.concat(F.array("normalized"), F.transform("aliases", plain))).alias("nth", "key")
+    if _few(index):  # then items stay where they are: one row of an item holds it, others hold a hit
+        met = items.select(F.struct("*").alias("item"), asked).join(F.broadcast(index), "key", "left").where("nth = 0 OR id IS NOT NULL")
+        met = met.select("item.doc", "item.normalized", F.when(F.col("nth") == 0, F.col("item")).alias("item"), F.when(F.col("id").isNotNull(), F.col("nth")).alias("nth"), "id")
+        rows = met.groupBy("doc", "normalized").agg(F.first("item", ignorenulls=True).alias("item"), F.min_by("id", "nth").alias("existing")).select("item.*", "existing")
+    else:
+        hit = items.select("doc", "normalized", asked).join(index, "key").groupBy("doc", "normalized").agg(F.min_by("id", "nth").alias("existing"))
+        rows = items.join(hit, ["doc", "normalized"], "left")
+    return rows.withColumn("action", F.when(F.col("existing").isNotNull(), "merge").otherwise("create"))
+
+
+def _few(rows: DataFrame) -> bool:
+    """Whether rows of a stock are few enough to be sent to every task, where no part that many items go into makes one task long."""
+    return rows.count() <= MOST_SENT
 
 
 def applied(items: DataFrame, stock: DataFrame, most: int = 200) -> DataFrame:
@@ -113,7 +125,7 @@ def applied(items: DataFrame, stock: DataFrame, most: int = 200) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc").orderBy("line", "part"))
     kept = items.withColumn("_nth", nth).where(F.col("_nth") <= most)
     last = F.row_number().over(Window.partitionBy("doc", "existing").orderBy(F.desc("_nth")))
-    old = kept.where("existing IS NOT NULL").withColumn("_last", last).where("_last = 1").alias("i").join(stock.alias("s"), F.col("existing") == F.col("id"))
+    old = kept.where("existing IS NOT NULL").withColumn("_last", last).where("_last = 1").alias("i").join((F.broadcast(stock) if _few(stock) else stock).alias("s"), F.col("existing") == F.col("id"))
     notes = F.concat_ws("\n", *(F.when(F.trim(c) != "", F.col(c)) for c in ("s.notes", "i.notes")))
     both = F.array_sort(F.array_distinct(F.concat(F.coalesce("s.aliases", _strings([])), "i.aliases")))
     grown = F.greatest(F.lit(0), F.coalesce("s.quantity", F.lit(0))) + F.greatest(F.lit(0), "i.quantity")

@@ -3,6 +3,7 @@
 import pytest
 
 from loomline.plans import inventory_rules as R
+from loomline.plans import registry
 
 TEXTS = {
     "timers": "20x NE555\r\nbunch of 10k resistors",
@@ -67,3 +68,16 @@ def test_applying(items, stock):
 def test_no_rows(spark, stock):
     none = R.merged_items(R.import_items(spark.createDataFrame([], "doc string, text string")))
     assert R.applied(R.matched_items(none, stock), stock).count() == 0
+
+
+def test_a_stock_too_large_to_send_gives_the_same(items, stock, monkeypatch):
+    found = lambda: sorted(map(str, R.applied(R.matched_items(items, stock).select(sorted(R.matched_items(items, stock).columns)), stock).collect()))
+    sent = found()
+    monkeypatch.setattr(R, "MOST_SENT", 0)
+    assert sent == found()
+
+
+@pytest.mark.parametrize("name", ["inventory_apply"])
+def test_lines_are_read_once(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("l_orderkey:bigint") == {"inventory_import": 1, "inventory_apply": 2}[name]  # parts and new items, of one plan each
