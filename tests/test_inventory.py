@@ -77,7 +77,7 @@ def test_a_stock_too_large_to_send_gives_the_same(items, stock, monkeypatch):
     assert sent == found()
 
 
-@pytest.mark.parametrize("name", ["inventory_apply"])
+@pytest.mark.parametrize("name", ["inventory_apply", "inventory_import"])
 def test_lines_are_read_once(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("l_orderkey:bigint") == {"inventory_import": 1, "inventory_apply": 2}[name]  # parts and new items, of one plan each
